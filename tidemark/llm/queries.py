@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import simhash
+from tidemark.llm import packing, pii, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), max_tokens=2048, derive=packing.with_crc32)
+    return out.withColumn("piece", F.col("piece").cast("int"))
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = (F.size(f"spans.{k.name}").cast("long").alias(f"n_{k.name}") for k in pii.BASE)
+    base = F.sha2(pii.listed("spans", pii.BASE), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.listed("spans", pii.BASE + pii.MORE).alias("spans"))
