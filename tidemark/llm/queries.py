@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, simhash
+from tidemark.llm import langid, packing, pii, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = (F.size(f"spans.{k.name}").cast("long").alias(f"n_{k.name}") for k in pii.BASE)
     base = F.sha2(pii.listed("spans", pii.BASE), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, pii.listed("spans", pii.BASE + pii.MORE).alias("spans"))
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
