@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, pii, simhash
+from tidemark.llm import gif, langid, packing, pii, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,21 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_language")
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_gif")
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    media = gif.with_gif(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "media")
+    read = gif.with_frames(media)
+    summed = F.transform(F.sequence(F.lit(0), F.lit(gif.BINS - 1)), lambda i: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + F.get(f["histogram"], i)))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(";", F.concat(F.lit("frames="), F.size("frames")), F.concat(F.lit("grey="), F.array_join(summed.cast("array<string>"), ","))).alias("feature"),
+    )
