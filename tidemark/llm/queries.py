@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, langid, neighbours, packing, pii, simhash
+from tidemark.llm import chat, gif, langid, neighbours, packing, pii, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,33 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
     return found.withColumn("rank", F.col("rank").cast("int"))
+
+
+SHARD_BYTES = 16 << 20
+
+
+def sharding_sql(limit: int) -> str:
+    """Every document's bucket: the least depth at which the bytes under its prefix fit, or where its bucket has one hash left."""
+    return f"""
+        WITH docs AS (
+            SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
+                   ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h
+            FROM documents),
+        sums AS (
+            SELECT d.depth, h >> (60 - d.depth) AS prefix, sum(bytes) AS total, min(h) = max(h) AS one
+            FROM docs, (SELECT unnest(range(0, 31)) AS depth) d
+            GROUP BY 1, 2),
+        fits AS (
+            SELECT doc_id, bytes, depth, prefix, total,
+                   row_number() OVER (PARTITION BY doc_id, h ORDER BY depth) AS nth
+            FROM docs JOIN sums ON h >> (60 - depth) = prefix
+            WHERE total <= {limit} OR one)
+        SELECT doc_id, CAST(bytes AS BIGINT) AS bytes, CAST(depth AS INTEGER) AS depth, CAST(prefix AS BIGINT) AS prefix,
+               CAST(0 AS BIGINT) AS part, CAST(total AS BIGINT) AS shard_bytes
+        FROM fits WHERE nth = 1
+    """
+
+
+@query("op4_sharding", sharding_sql(SHARD_BYTES))
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
