@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, langid, neighbours, packing, pii, sharding, simhash
+from tidemark.llm import chat, gif, langid, mixing, neighbours, packing, pii, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,8 @@ def sharding_sql(limit: int) -> str:
 @query("op4_sharding", sharding_sql(SHARD_BYTES))
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
