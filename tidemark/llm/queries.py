@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, langid, mixing, neighbours, packing, pii, sharding, simhash
+from tidemark.llm import chat, gif, langid, licenses, mixing, neighbours, packing, pii, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +131,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_mixing")
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_licenses")
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.with_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.explode_outer("licenses").alias("l")).select("doc_id", "n_licenses", "l.*")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
