@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,46 +39,92 @@ class Frame:
     canvas: np.ndarray | None = None
 
 
+@cache
+def _width_table(bits: int) -> np.ndarray:
+    known = (1 << bits) + 2 + np.maximum(np.arange(1 << 16) - 1, 0)
+    return np.clip(np.frexp(known)[1], bits + 1, 12)
+
+
 def code_widths(since: int, count: int, bits: int) -> np.ndarray:
     """Bits of ``count`` codes, the first being number ``since`` (from 0) after a clear code."""
-    known = (1 << bits) + 2 + np.maximum(np.arange(since, since + count) - 1, 0)
-    return np.clip(np.frexp(known)[1], bits + 1, 12)
+    table = _width_table(bits)
+    return table[since : since + count] if since + count <= len(table) else np.full(count, 12)
+
 
+def lzw_codes(data: bytes, bits: int) -> np.ndarray:
+    """LZW codes of samples; the table is cleared whenever it is full.
 
-def lzw_codes(data: bytes, bits: int) -> list[int]:
-    """LZW codes of samples; the table is cleared whenever it is full."""
-    clear, out, table, free = 1 << bits, [1 << bits], {}, (1 << bits) + 2
+    In the loop a code stands eight bits up, so that with the next sample it
+    makes a key of the table.
+    """
+    clear, table, free, most = 1 << bits, {}, (1 << bits) + 2 << 8, MOST_CODES << 8
+    out = [clear << 8]
     if data:
-        known, rest = table.get, memoryview(data)
-        at = rest[0]
-        for c in rest[1:]:
-            key = at << 8 | c
-            longer = known(key)
-            if longer is not None:
+        put, known = out.append, table.get
+        at = data[0] << 8
+        for c in data[1:]:
+            longer = known(at | c)
+            if longer:
                 at = longer
                 continue
-            out.append(at)
-            if free < MOST_CODES:
-                table[key] = free
-                free += 1
+            put(at)
+            if free < most:
+                table[at | c] = free
+                free += 256
             else:
-                out.append(clear)
-                table, free = {}, clear + 2
+                put(clear << 8)
+                table, free = {}, clear + 2 << 8
                 known = table.get
-            at = c
-        out.append(at)
-    out.append(clear + 1)
-    return out
+            at = c << 8
+        put(at)
+    out.append(clear + 1 << 8)
+    return np.array(out, np.int64) >> 8
 
 
-def pack_codes(codes: list[int], bits: int) -> bytes:
+def pack_codes(codes: np.ndarray, bits: int) -> bytes:
     """Codes as a bit stream, lowest bits first, in the widths that readers expect."""
-    values = np.array(codes, np.uint16)
+    values = np.asarray(codes, np.int64)
     starts = np.append(np.flatnonzero(values == 1 << bits), len(values))
     widths = np.concatenate([code_widths(0, 1, bits), *(code_widths(0, int(n), bits) for n in np.diff(starts))])[: len(values)]
-    columns = np.arange(12, dtype=np.uint16)
-    spread = (values[:, None] >> columns & 1).astype(np.uint8)
-    return np.packbits(spread[columns < widths[:, None]], bitorder="little").tobytes()
+    ends = np.cumsum(widths)
+    at = ends - widths
+    byte, shifted = at >> 3, values << (at & 7)
+    size = int(ends[-1]) + 7 >> 3
+    # bits of different codes never meet, so their bytes add up
+    parts = [np.bincount(byte + i, shifted >> 8 * i & 255, size + 2) for i in range(3)]
+    return (parts[0][:size] + parts[1][:size] + parts[2][:size]).astype(np.uint8).tobytes()
+
+
+def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples of codes that no clear code interrupts.
+
+    Entry n of the table is what code n stood for, and one sample more: a piece
+    of the samples themselves. So a code's length is one more than that of the
+    code it refers to, and each of its samples is one that came before; both
+    are followed back to plain samples by doubling the steps.
+    """
+    back = codes - (clear + 2)
+    plain = back < 0
+    if (codes[plain] >= clear).any() or (back >= np.arange(len(codes))).any():
+        raise ValueError("a code that isn't in the table")
+    own = np.arange(len(codes))
+    up, length = np.where(plain, own, back), np.where(plain, 0, 1)
+    while length[up].any():
+        length = length + length[up]
+        up = up[up]
+    length = length + 1
+    starts = np.cumsum(length) - length
+    total = int(length.sum())
+    source = np.arange(total)
+    shift = np.where(plain, 0, starts - starts[np.where(plain, 0, back)])
+    source = source - np.repeat(shift, length)
+    roots = np.zeros(total, bool)
+    roots[starts[plain]] = True
+    while not roots[source].all():
+        source = source[source]
+    samples = np.zeros(total, np.uint8)
+    samples[starts[plain]] = codes[plain]
+    return samples[source]
 
 
 def lzw_samples(stream: bytes, bits: int, count: int) -> bytes:
@@ -87,41 +134,30 @@ def lzw_samples(stream: bytes, bits: int, count: int) -> bytes:
     cleared, so a run of codes is cut out of the stream at once.
     """
     clear, end = 1 << bits, (1 << bits) + 1
-    roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
-    total, at, since, table, last, out, made = 8 * len(stream), 0, 0, roots[:], None, [], 0
+    data = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
+    total, at, since, run, out, made = 8 * len(stream), 0, 0, [], [], 0
     while made < count:
-        widths = code_widths(since, MOST_CODES, bits)
-        places = at + np.concatenate([[0], np.cumsum(widths)])
-        n = int(np.searchsorted(places, total, side="right")) - 1
-        if n < 1:
-            break
-        widths, from_ = widths[:n], places[:n]
+        widths = code_widths(since, min(MOST_CODES, (total - at) // (bits + 1) + 1), bits)
+        ends = at + np.cumsum(widths)
+        n = int(np.searchsorted(ends, total, side="right"))
+        from_ = ends[:n] - widths[:n]
         byte = from_ >> 3
-        values = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (from_ & 7).astype(np.uint32) & ((1 << widths) - 1).astype(np.uint32)
+        values = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (from_ & 7) & ((1 << widths[:n]) - 1)
         stops = np.flatnonzero((values == clear) | (values == end))
-        run = int(stops[0]) if len(stops) else n
-        for c in values[:run].tolist():
-            if c < len(table):
-                entry = table[c]
-            elif last is not None and c == len(table):
-                entry = last + last[:1]
-            else:
-                raise ValueError("a code that isn't in the table")
-            if last is not None and len(table) < MOST_CODES:
-                table.append(last + entry[:1])
-            out.append(entry)
-            made += len(entry)
-            last = entry
-        at, since = int(places[min(run + 1, n)]), since + run
-        if run < n:
-            if values[run] == end:
-                break
-            since, table, last = 0, roots[:], None
-    found = b"".join(out)[:count]
-    if len(found) < count:
+        cut = int(stops[0]) if len(stops) else n
+        run.append(values[:cut])
+        since += cut
+        if cut == n and n:
+            at = int(ends[n - 1])
+            continue
+        out.append(_expand(np.concatenate(run), clear))
+        made += len(out[-1])
+        if not n or values[cut] == end:
+            break
+        at, since, run = int(ends[cut]), 0, []
+    if made < count:
         raise ValueError("the code stream ends early")
-    return found
+    return np.concatenate(out)[:count].tobytes() if out else b""
 
 
 def write_gif(frames: list[Frame], width: int, height: int, palette: np.ndarray = GREYS) -> bytes:
@@ -171,7 +207,7 @@ def _frames(data: bytes) -> Iterator[Frame]:
 
     if packed & 0x80:
         common, at = colours(packed, at)
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((height, width), "<u4")
     delay, disposal, transparent = 0, 0, None
     while data[at] != 0x3B:
         kind, at = data[at], at + 1
@@ -196,14 +232,16 @@ def _frames(data: bytes) -> Iterator[Frame]:
             plain = np.empty_like(samples)
             plain[order] = samples
             samples = plain
-        before = canvas.copy()
+        before = canvas.copy() if disposal == 3 else canvas
         inside = canvas[top : top + rows, left : left + cols]
         part = samples[: inside.shape[0], : inside.shape[1]]
-        seen = np.ones(part.shape, bool) if transparent is None else part != transparent
-        if palette is None or len(part) and int(part.max(initial=0)) >= len(palette):
+        if palette is None or part.size and int(part.max()) >= len(palette):
             raise ValueError("a sample without a colour")
-        inside[seen, :3], inside[seen, 3] = palette[part[seen]], 255
-        yield Frame(samples, left, top, delay, disposal, transparent, palette, canvas.copy())
+        colour = np.full((len(palette), 4), 255, np.uint8)
+        colour[:, :3] = palette
+        shown = colour.view("<u4")[:, 0][part]
+        inside[:] = shown if transparent is None else np.where(part == transparent, inside, shown)
+        yield Frame(samples, left, top, delay, disposal, transparent, palette, canvas.copy().view(np.uint8).reshape(height, width, 4))
         if disposal == 2:
             inside[:] = 0
         elif disposal == 3:
@@ -253,7 +291,7 @@ def with_frames(media: DataFrame, media_col: str = "media", frames_name: str = "
 
     def described(f: Frame) -> tuple[dict, bytes]:
         shown = f.canvas[f.top : f.top + f.samples.shape[0], f.left : f.left + f.samples.shape[1]]
-        solid = shown[shown[..., 3] > 0]
+        solid = shown.reshape(-1, 4) if shown[..., 3].all() else shown[shown[..., 3] > 0]
         histogram = np.concatenate([np.bincount(solid[:, i] >> 4, minlength=BINS) for i in range(3)])
         return {"left": f.left, "top": f.top, "width": f.samples.shape[1], "height": f.samples.shape[0], "delay_cs": f.delay_cs, "histogram": histogram.tolist()}, shown[..., 0].tobytes()
 
