@@ -82,19 +82,24 @@ def burst_boundaries(spark, sf_dir) -> DataFrame:
     return rows.withColumn("label", text.reason(F.col("category"), F.col("request_state"), F.col("reason")))
 
 
+def _known(name: str):
+    """-1 stands for null, so that a column of numbers stays one in any client."""
+    return F.coalesce(F.col(name), F.lit(-1)).alias(name)
+
+
 def _probes(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir).where("category <> 'move'").select("session_id", "event_id", "ts", "monitor_index")
 
 
 @query(
     "frame_asof_before",
-    f"WITH {FRAMES_SQL} SELECT e.event_id, f.frame_id, f.frame_ts FROM (SELECT *, ts - {PADDING_US} AS probe FROM ev WHERE category <> 'move') e ASOF LEFT JOIN fr f ON e.session_id = f.session_id AND e.probe >= f.frame_ts",
+    f"WITH {FRAMES_SQL} SELECT e.event_id, coalesce(f.frame_id, -1) AS frame_id, coalesce(f.frame_ts, -1) AS frame_ts FROM (SELECT *, ts - {PADDING_US} AS probe FROM ev WHERE category <> 'move') e ASOF LEFT JOIN fr f ON e.session_id = f.session_id AND e.probe >= f.frame_ts",
 )
 def frame_asof_before(spark, sf_dir) -> DataFrame:
     probes = _probes(spark, sf_dir).withColumn("probe", F.col("ts") - PADDING_US)
     shots = frames(spark, sf_dir)
     found = temporal.asof(probes, shots.withColumn("at", F.col("frame_ts")), ["session_id"], "probe", "frame_ts", ["frame_id", "at"], tie="frame_id")
-    return found.select("event_id", "frame_id", F.col("at").alias("frame_ts"))
+    return found.select("event_id", _known("frame_id"), _known("at").alias("frame_ts"))
 
 
 @query(
@@ -103,11 +108,11 @@ def frame_asof_before(spark, sf_dir) -> DataFrame:
         one AS (SELECT e.event_id, e.session_id, e.ts, f.frame_id AS same_id FROM (SELECT * FROM ev WHERE category <> 'move') e
                 ASOF LEFT JOIN fr f ON e.session_id = f.session_id AND e.monitor_index = f.monitor_index AND e.ts <= f.frame_ts),
         two AS (SELECT o.*, f.frame_id AS any_id FROM one o ASOF LEFT JOIN fr f ON o.session_id = f.session_id AND o.ts <= f.frame_ts)
-        SELECT event_id, coalesce(same_id, any_id) AS frame_id FROM two""",
+        SELECT event_id, coalesce(same_id, any_id, -1) AS frame_id FROM two""",
 )
 def frame_asof_after_pref(spark, sf_dir) -> DataFrame:
     found = temporal.asof_preferring(_probes(spark, sf_dir), frames(spark, sf_dir), ["session_id"], "monitor_index", "ts", "frame_ts", ["frame_id"], tie="frame_id")
-    return found.select("event_id", "frame_id")
+    return found.select("event_id", _known("frame_id"))
 
 
 @query(
@@ -116,23 +121,23 @@ def frame_asof_after_pref(spark, sf_dir) -> DataFrame:
         fr AS (SELECT session_id, event_id AS frame_id, ts AS frame_ts FROM ev WHERE category = 'move'),
         ends AS (SELECT session_id, burst_id, end_ts + {PADDING_US} AS low,
                         coalesce(lead(start_ts) OVER (PARTITION BY session_id, category ORDER BY start_ts), end_ts + {GAP_US} + 1000000) AS decided FROM ids)
-        SELECT e.session_id, e.burst_id, CASE WHEN f.frame_ts >= e.low THEN f.frame_id END AS frame_id
+        SELECT e.session_id, e.burst_id, CASE WHEN f.frame_ts >= e.low THEN f.frame_id ELSE -1 END AS frame_id
         FROM ends e ASOF LEFT JOIN fr f ON e.session_id = f.session_id AND e.decided >= f.frame_ts""",
 )
 def frame_end_newest(spark, sf_dir) -> DataFrame:
     ids = bursts.summaries(bursts.with_bursts(events(spark, sf_dir), GAP_US))
     rows = temporal.link_next(ids, ["session_id", "category"], "start_ts", ["first_event"], "decided", F.col("end_ts") + GAP_US + 1_000_000)
     rows = rows.select("session_id", "burst_id", (F.col("end_ts") + PADDING_US).alias("low"), "decided")
-    return temporal.newest_within(rows, frames(spark, sf_dir), ["session_id"], "low", "decided", "frame_ts", ["frame_id"], tie="frame_id").select("session_id", "burst_id", "frame_id")
+    return temporal.newest_within(rows, frames(spark, sf_dir), ["session_id"], "low", "decided", "frame_ts", ["frame_id"], tie="frame_id").select("session_id", "burst_id", _known("frame_id"))
 
 
 @query(
     "link_boundaries",
-    f"{BOUNDS_SQL} SELECT session_id, category, burst_id, request_state, ts, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id, request_state) AS end_ts FROM bounds",
+    f"{BOUNDS_SQL} SELECT session_id, category, burst_id, request_state, ts, coalesce(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id, request_state), -1) AS end_ts FROM bounds",
 )
 def link_boundaries(spark, sf_dir) -> DataFrame:
     rows = bursts.boundaries(events(spark, sf_dir), GAP_US, TOTALS_US)
-    return temporal.link_next(rows, ["session_id"], "ts", ["event_id", "request_state"]).select("session_id", "category", "burst_id", "request_state", "ts", "end_ts")
+    return temporal.link_next(rows, ["session_id"], "ts", ["event_id", "request_state"]).select("session_id", "category", "burst_id", "request_state", "ts", _known("end_ts"))
 
 
 def _records(spark, sf_dir) -> DataFrame:
