@@ -22,10 +22,10 @@ def _shots(spark, sf_dir) -> DataFrame:
 @query(
     "merge_adjacent",
     f"""WITH {EVENTS_SQL},
-        p AS (SELECT *, CASE WHEN k % 9 <> 0 THEN CAST(ts // {DAY // 4} AS DOUBLE) END AS at, k % 9 = 0 AS gone FROM ev),
+        p AS (SELECT *, CASE WHEN k % 9 <> 0 THEN CAST(ts // {DAY // 4} AS DOUBLE) END AS begin_at, k % 9 = 0 AS gone FROM ev),
         f AS (SELECT *, first_value(gone) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS lost,
-                     last_value(at IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p),
-        g AS (SELECT *, sum(CASE WHEN NOT lost AND at <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS g FROM f)
+                     last_value(begin_at IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p),
+        g AS (SELECT *, sum(CASE WHEN NOT lost AND begin_at <> prev THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS g FROM f)
         SELECT session_id, min(ts) AS start_ts, max(ts) AS end_ts, arg_min(event_type, ts) AS first_type, arg_max(category, ts) AS last_category, count(*) AS num_merged FROM g GROUP BY session_id, g""",
 )
 def merge_adjacent(spark, sf_dir) -> DataFrame:
