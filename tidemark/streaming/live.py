@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tidemark.operators.bursts import STALE, OpenBurst
+from tidemark.schemas import EMISSION_DELAY
 
 
 def segments(requests: DataFrame, session: str = "session_id", burst: str = "burst_id", category: str = "category", ts: str = "ts", state: str = "request_state", tie: str = "event_id") -> DataFrame:
@@ -16,3 +25,111 @@ def segments(requests: DataFrame, session: str = "session_id", burst: str = "bur
     before = F.lag(ts).over(Window.partitionBy(session, burst).orderBy(ts, place, tie))
     rows = requests.withColumn("start_ts", before).where((F.col(state) != "start") & (F.col("start_ts").isNotNull() | (F.col(state) == "end")))
     return rows.select(session, burst, category, F.coalesce("start_ts", ts).alias("start_ts"), F.col(ts).alias("end_ts"))
+
+
+STATE = "queue string, burst long, last long"
+BOUNDARY = "session_id long, category string, burst_id string, request_state string, reason string, ts long, event_id long, monitor_index int"
+
+
+def stream_boundaries(events: DataFrame, gaps: dict[str, int], totals: dict[str, int], late: str = "3 seconds") -> DataFrame:
+    """Starts, splits and ends of bursts of a stream, as they become known.
+
+    ``events``: ``session_id``, ``category``, ``ts`` (microseconds),
+    ``event_id``, ``monitor_index`` and ``event_time`` (a timestamp). State is
+    kept by session and category: what is open of one burst. A burst ends when
+    the next event is further than its gap, or when the watermark passes its
+    last event by the gap. Its id is its category and first time, so that no
+    counter is shared. Events of a batch are taken in time order.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        session, category = key
+        gap, out = gaps[category], []
+        queue, begun, last = (json.loads(state.get[0]), *state.get[1:]) if state.exists else ([], None, None)
+
+        def said(kind: str, reason: str, ts: int, monitor: int, event: int) -> None:
+            out.append((session, category, f"{category}_{begun}", kind, reason, ts, event, monitor))
+
+        if state.hasTimedOut:
+            said("end", STALE, *queue[-1])
+            state.remove()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            burst = OpenBurst(totals[category], [tuple(q) for q in queue])
+            for ts, monitor, event in rows[["ts", "monitor_index", "event_id"]].itertuples(index=False, name=None):
+                if burst.queue and ts - burst.queue[-1][0] > gap:
+                    said("end", STALE, *burst.queue[-1])
+                    burst.queue.clear()
+                if not burst.queue:
+                    begun = ts
+                    said("start", STALE, ts, monitor, event)
+                if found := burst.push(int(ts), int(monitor), int(event)):
+                    said("mid", *found)
+                last = ts
+            state.update((json.dumps(burst.queue), int(begun), int(last)))
+            state.setTimeoutTimestamp(max(int(last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in BOUNDARY.split(", ")])
+
+    marked = events.withWatermark("event_time", late)
+    return marked.groupBy("session_id", "category").applyInPandasWithState(step, BOUNDARY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+LINKED = "session_id long, category string, burst_id string, request_state string, ts long, event_id long, end_ts long"
+
+
+def stream_links(requests: DataFrame, late: str = EMISSION_DELAY) -> DataFrame:
+    """A stream of boundaries, each with the time of the session's next one, emitted in order.
+
+    A boundary waits until the watermark, ``late`` behind, has passed it, so
+    that boundaries which arrive out of order still find their places, and
+    until a later one is there to link to.
+    """
+    columns = ["session_id", "category", "burst_id", "request_state", "ts", "event_id"]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches))[columns[1:]]
+            held += [(str(c), str(b), str(r), int(t), int(e)) for c, b, r, t, e in rows.itertuples(index=False, name=None)]
+        held.sort(key=lambda x: (x[3], x[4], x[2]))
+        safe, out = state.getCurrentWatermarkMs() * 1000, []
+        while len(held) > 1 and held[1][3] <= safe:
+            first = held.pop(0)
+            out.append((*key, *first, held[0][3]))
+        state.update((json.dumps(held),))
+        if len(held) > 1:
+            state.setTimeoutTimestamp(max(held[1][3] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[*columns, "end_ts"])
+
+    timed = requests.withColumn("event_time", F.timestamp_micros("ts")).withWatermark("event_time", late)
+    return timed.groupBy("session_id").applyInPandasWithState(step, LINKED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_frames(events: DataFrame, frames: DataFrame, ring: int, padding_us: int) -> DataFrame:
+    """A stream of events, each with the last frame at least ``padding_us`` older, from the newest ``ring`` frames of its session.
+
+    Both streams (``session_id``, ``ts``, and ``event_id`` or ``frame_id``) go
+    into one state; the ring bounds it. Frames of a batch are put in first, in
+    time order wherever they arrive late.
+    """
+    both = events.select("session_id", "ts", "event_id", F.lit(None).cast("long").alias("frame_id")).unionByName(frames.select("session_id", "ts", F.lit(None).cast("long").alias("event_id"), "frame_id"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("ts")
+        shots = rows[rows["frame_id"].notna()]
+        kept = sorted(kept + [(int(t), int(f)) for t, f in zip(shots["ts"], shots["frame_id"], strict=True)])[-ring:]
+        times, out = [t for t, _ in kept], []
+        for ts, event in rows.loc[rows["event_id"].notna(), ["ts", "event_id"]].itertuples(index=False, name=None):
+            at = bisect_right(times, ts - padding_us)
+            out.append((*key, int(event), int(ts), kept[at - 1][1] if at else None))
+        state.update((json.dumps(kept),))
+        yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype="Int64") for i, c in enumerate(("session_id", "event_id", "ts", "frame_id"))})
+
+    return both.groupBy("session_id").applyInPandasWithState(step, "session_id long, event_id long, ts long, frame_id long", "ring string", "append", GroupStateTimeout.NoTimeout)
+
+
+def seen(spans: DataFrame, now: int, window_us: int, start: str = "start_ts", end: str = "end_ts") -> DataFrame:
+    """What a live view shows of stretches: those that meet the last ``window_us``, cut to it."""
+    inside = spans.where((F.col(end) >= now - window_us) & (F.col(start) <= now))
+    return inside.withColumn(start, F.greatest(start, F.lit(now - window_us))).withColumn(end, F.least(end, F.lit(now)))
