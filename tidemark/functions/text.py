@@ -78,10 +78,10 @@ def hash_key(path: Column) -> Column:
 
 
 def actions(prompt: Column) -> Column:
-    """The bullet lines below ``Actions:`` of a prompt, one to a line."""
-    below = F.substring_index(prompt, "Actions:", -1)
-    lines = F.filter(F.transform(F.split(below, "\n"), F.trim), lambda x: x != "")
-    return F.when(F.contains(prompt, F.lit("Actions:")), F.array_join(lines, "\n")).otherwise("")
+    """The lines below ``Actions:`` of a prompt as bullets, one to a line; empty without any."""
+    below = F.split(F.regexp_extract(prompt, r"(?s)Actions:[^\n]*\n(.*)", 1), "\n")
+    lines = F.filter(F.transform(below, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: ~x.isin("", "No actions recorded."))
+    return F.array_join(F.transform(lines, lambda x: F.concat(F.lit("\u2022 "), x)), "\n")
 
 
 def salvaged_json(text: Column) -> Column:

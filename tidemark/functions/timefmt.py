@@ -19,9 +19,10 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def _clock(text: Column, digits: int, pattern: str) -> Column:
-    stamp = F.regexp_extract(text, rf"(\d{{{digits}}})", 1)
-    return F.unix_micros(F.try_to_timestamp(stamp, F.lit(pattern))) / 1e6
+def _clock(text: Column, digits: int) -> Column:
+    found = F.regexp_extract(text, rf"(\d{{{digits}}})", 1)
+    stamped = F.concat(F.substring(found, 1, 14), F.lit("."), F.rpad(F.substring(found, 15, 3), 3, "0"))
+    return F.unix_micros(F.try_to_timestamp(stamped, F.lit("yyyyMMddHHmmss.SSS"))) / 1e6
 
 
 def _number(text: Column, pattern: str) -> Column:
@@ -31,7 +32,7 @@ def _number(text: Column, pattern: str) -> Column:
 def frame_time(path: Column, modified: Column | None = None) -> Column:
     """Seconds from a frame's name: a leading decimal, else 17 digits of date and time, else ``modified``."""
     name = basename(path)
-    return F.coalesce(_number(name, r"^(\d+\.\d+)"), _clock(name, 17, "yyyyMMddHHmmssSSS"), modified if modified is not None else F.lit(None).cast("double"))
+    return F.coalesce(_number(name, r"^(\d+\.\d+)"), _clock(name, 17), modified if modified is not None else F.lit(None).cast("double"))
 
 
 def loose_time(path: Column, modified: Column) -> Column:
@@ -41,7 +42,7 @@ def loose_time(path: Column, modified: Column) -> Column:
 
 def listing_time(name: Column) -> Column:
     """Seconds from the first decimal in a name, else its 14 digits of date and time, else null."""
-    return F.coalesce(_number(name, r"(\d+\.\d+)"), _clock(name, 14, "yyyyMMddHHmmss"))
+    return F.coalesce(_number(name, r"(\d+\.\d+)"), _clock(name, 14))
 
 
 def prefix_time(path: Column) -> Column:

@@ -9,6 +9,7 @@ import warnings
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import coarse, unsigned_to_signed
 from tidemark.functions.timefmt import listing_time
@@ -26,7 +27,7 @@ def _python_to_json(line: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def python_literal_json(lines: pd.Series) -> pd.Series:
     return lines.map(_python_to_json)
 
