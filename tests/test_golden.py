@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import geometry, text, timefmt
-from tidemark.operators import audit, bursts, dataset, dedupe, labeling, models, sanitize, tasks, temporal
+from tidemark import settings
+from tidemark.functions import accessibility, geometry, text, timefmt
+from tidemark.operators import audit, bursts, cursor, dataset, dedupe, labeling, models, sanitize, tasks, temporal
 from tidemark.schemas import DETAILS, MONITOR, PRESETS
 
 US = 1_000_000
@@ -221,3 +222,48 @@ def test_tasks(spark):
     chosen = spark.createDataFrame([("y", 1)], "task_id string, event_no int")
     assert [r.caption for r in tasks.only_chosen(found, chosen, ["task_id", "event_no"]).collect()] == ["b"]
     assert sorted(r.caption for r in tasks.noise(rows, found, ["s", "event_no"]).collect()) == ["c", "d"]
+
+
+def test_elements(spark):
+    cases = [("{}", False), ('{"AXTitle": " "}', False), ('{"AXTitle": "x"}', True), ('{"AXRole": "AXImage", "_parent": {"AXTitle": "p"}}', False), ('{"AXRole": "AXButton"}', True), ('{"AXRole": "Odd", "_parent": {"AXTitle": "p"}}', True), ('{"AXRole": "Odd"}', False), (None, False)]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, e string")
+    assert [r.u for r in rows.select("i", accessibility.useful(F.col("e")).alias("u")).orderBy("i").collect()] == [u for _, u in cases]
+    kept = value(spark, accessibility.projected(F.lit('{"AXRole": "AXLink", "AXURL": "u", "AXValue": "v", "AXTitle": "", "_parent": {"AXRole": "r", "AXValue": "no"}}')))
+    assert kept == '{"AXRole":"AXLink","AXURL":"u","_parent":"{\\"AXRole\\":\\"r\\"}"}'
+    assert value(spark, accessibility.projected(F.lit('{"Other": 1}'))) is None
+    events = spark.createDataFrame([(1, i, "mouse_move" if i < 20 else k) for i, k in enumerate(["m"] * 20 + ["mouse_up", "key_press"])], "s int, i int, event_type string")
+    assert [r.i for r in accessibility.sampled(events, ["s"], ["i"]).where("looked_up").orderBy("i").collect()] == [9, 19, 21]
+
+
+def test_cursor_paths(spark):
+    one, two, three = (dict(left=i * 100, top=0, width=100, height=100) for i in range(3))
+    at = lambda x, m: dict(cursor_position=[float(x), 5.0], monitor=m)
+    frames = [(1, 0, [at(10, one), at(20, one), at(150, two), at(160, two), at(250, three)], one), (1, 1, [at(170, two)], two), (1, 2, [], two), (2, 0, None, None)]
+    df = spark.createDataFrame(frames, f"s int, i int, events array<struct<cursor_position:array<double>,monitor:{MONITOR}>>, monitor {MONITOR}")
+    out = {(r.s, r.i): [e.cursor_position[0] for e in r.events] for r in cursor.carried(df, ["s"], ["i"]).collect()}
+    assert out == {(1, 0): [10, 20, 150, 160, 250], (1, 1): [150, 160, 170], (1, 2): [], (2, 0): []}
+    flat = df.select("s", "i", F.col("monitor").alias("frame_monitor"), F.posexplode("events").alias("n", "e")).select("s", "i", "frame_monitor", "n", "e.cursor_position")
+    assert [(r.start[0], r.end[0]) for r in cursor.movements(flat, ["s", "i"], ["n"]).collect()] == [(10.0, 20.0)]
+    sizes = spark.createDataFrame([(10, 40), (30, 20)], "width int, height int")
+    assert tuple(cursor.largest(sizes).first()) == (30, 40) and tuple(cursor.largest(sizes.limit(0)).first()) == (1920, 1080)
+
+
+def test_presets(monkeypatch):
+    assert settings.preset().gaps["click"] == 200_000 and settings.preset("rough").longest == 24 * US
+    monkeypatch.setenv("CAPTURE_PRECISION", "rough")
+    assert settings.preset().gaps["key"] == 2 * US
+    with pytest.raises(ValueError):
+        settings.preset("other")
+
+
+def test_model_entries(spark):
+    class Cleaner(models.Client):
+        def upload(self, path, session_id=None):
+            return None
+
+        def generate(self, prompt, file=None, schema=None):
+            return '{"entries": [{"id": 1, "clean_caption": "clean", "event_id": 1, "task_ids": ["x"]}]}'
+
+    rows = spark.createDataFrame([(1, "t")], "s int, transcript string")
+    assert [tuple(r) for r in models.clean_captions(rows, Cleaner, ["s"]).collect()] == [(1, 1, "clean")]
+    assert [tuple(r) for r in models.segment_tasks(rows, Cleaner, ["s"]).collect()] == [(1, 1, ["x"])]

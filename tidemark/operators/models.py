@@ -75,3 +75,23 @@ def answers(chunks: DataFrame, make: Callable[[], Client], prompt: str = "prompt
 def resumed(done: DataFrame, fresh: DataFrame) -> DataFrame:
     """Earlier results and new ones without an error."""
     return done.unionByName(fresh.where(F.col("error").isNull()), allowMissingColumns=True)
+
+
+def entries(rows: DataFrame, answer: str, schema: str, keep: list[str]) -> DataFrame:
+    """The records in answers of ``{"entries": [...]}``: ``keep`` and the fields of ``schema``; what doesn't parse has none."""
+    parsed = F.from_json(answer, f"entries array<struct<{schema}>>")
+    return rows.select(*keep, F.explode(parsed["entries"]).alias("e")).select(*keep, "e.*")
+
+
+def clean_captions(transcripts: DataFrame, make: Callable[[], Client], by: list[str], instruction: str = "") -> DataFrame:
+    """Captions that a model has freed of names: ``by``, ``event_no``, ``caption``; to be written over the old ones."""
+    asked = transcripts.withColumn("prompt", F.concat(F.lit(instruction), F.col("transcript")))
+    found = entries(answers(asked, make), "answer", "id:int,clean_caption:string", by)
+    return found.select(*by, F.col("id").alias("event_no"), F.col("clean_caption").alias("caption"))
+
+
+def segment_tasks(transcripts: DataFrame, make: Callable[[], Client], by: list[str], instruction: str = "") -> DataFrame:
+    """Tasks of each event, by a model: ``by``, ``event_no``, ``task_ids``."""
+    asked = transcripts.withColumn("prompt", F.concat(F.lit(instruction), F.col("transcript")))
+    found = entries(answers(asked, make), "answer", "event_id:int,task_ids:array<string>", by)
+    return found.select(*by, F.col("event_id").alias("event_no"), "task_ids")
