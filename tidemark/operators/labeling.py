@@ -75,22 +75,26 @@ def actions(events: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     rows = rows.withColumn("_flush", (flush & (F.col("_new") == 1)).cast("int"))
     rows = rows.withColumn("_after", F.sum("_flush").over(back))  # flushes so far, this row's own included
     key = F.when(F.col("event_type") == "key_press", F.nullif(key_name(F.coalesce(F.col("details.key"), F.lit("Key.unknown"))), F.lit("")))
-    keyed = rows.withColumn("_key", key).where("_key is not null")
-    texts = keyed.groupBy(*by, "_after").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "_key"))), lambda x: x["_key"]).alias("_keys"))
-    ends = rows.where("_flush = 1").select(*by, (F.col("_after") - 1).alias("_after"), F.col("position").alias("_at"), (F.col("event_type") == "mouse_down").alias("_click"))
-    said = texts.join(ends, [*by, "_after"], "left").select(*by, F.coalesce(F.col("_at") - 0.5, F.lit(float("inf"))).alias("position"), _keys_said(F.col("_keys"), F.coalesce("_click", F.lit(False))).alias("action"))
     place = per_mille(F.col("cursor_position"), F.col("monitor"))
-    clicks = rows.where("event_type = 'mouse_down'").select(*by, F.col("position").cast("double").alias("position"), F.concat(F.lit("Mouse clicked "), button_name(F.coalesce(F.col("details.button"), F.lit("Button.unknown"))), F.lit(" at "), place, F.when(F.coalesce(F.col("details.double_click"), F.lit(False)), " (double click)").otherwise("")).alias("action"))
-    ran = rows.where(F.col("event_type").isin("mouse_scroll", "mouse_move")).groupBy(*by, "_run").agg(
-        F.min("position").cast("double").alias("position"),
+    click = F.concat(F.lit("Mouse clicked "), button_name(F.coalesce(F.col("details.button"), F.lit("Button.unknown"))), F.lit(" at "), place, F.when(F.coalesce(F.col("details.double_click"), F.lit(False)), " (double click)").otherwise(""))
+    rows = rows.select(*by, "position", "event_type", "_run", "_after", key.alias("_key"), place.alias("_place"), F.when(F.col("event_type") == "mouse_down", click).alias("_click"), scroll_direction(F.col("details.dx"), F.col("details.dy")).alias("_way"))
+    # the keys between two flushes are said before the second, in its manner
+    spells = rows.groupBy(*by, "_after").agg(F.array_sort(F.collect_list(F.when(F.col("_key").isNotNull(), F.struct("position", "_key")))).alias("_keys"), F.min("position").alias("_at"), F.min_by("event_type", "position").alias("_type"))
+    then = Window.partitionBy(*by).orderBy("_after")
+    spells = spells.withColumn("_at", F.lead("_at").over(then)).withColumn("_before_click", F.coalesce(F.lead("_type").over(then) == "mouse_down", F.lit(False))).where(F.size("_keys") > 0)
+    said = spells.select(*by, F.coalesce(F.col("_at") - 0.5, F.lit(float("inf"))).alias("position"), _keys_said(F.transform("_keys", lambda x: x["_key"]), F.col("_before_click")).alias("action"))
+    ran = rows.where(F.col("event_type").isin("mouse_down", "mouse_scroll", "mouse_move")).groupBy(*by, "_run").agg(
+        F.min("position").alias("_at"),
         F.count("*").alias("_n"),
         F.first("event_type").alias("_type"),
-        F.min_by(scroll_direction(F.col("details.dx"), F.col("details.dy")), "position").alias("_way"),
-        F.min_by(place, "position").alias("_from"),
-        F.max_by(place, "position").alias("_to"),
+        F.min_by("_way", "position").alias("_way"),
+        F.min_by("_place", "position").alias("_from"),
+        F.max_by("_place", "position").alias("_to"),
+        F.collect_list(F.when(F.col("event_type") == "mouse_down", F.struct(F.col("position").cast("double").alias("position"), F.col("_click").alias("action")))).alias("_clicks"),
     )
     moved = F.when(F.col("_type") == "mouse_scroll", F.concat(F.lit("Scrolled "), F.col("_way"))).when(F.col("_n") >= 2, F.concat(F.lit("Mouse moved from "), F.col("_from"), F.lit(" to "), F.col("_to"))).otherwise(F.concat(F.lit("Mouse moved to "), F.col("_to")))
-    return said.unionByName(clicks).unionByName(ran.select(*by, "position", moved.alias("action")))
+    each = F.when(F.col("_type") == "mouse_down", F.col("_clicks")).otherwise(F.array(F.struct(F.col("_at").cast("double").alias("position"), moved.alias("action"))))
+    return said.unionByName(ran.select(*by, F.explode(each).alias("x")).select(*by, "x.position", "x.action"))
 
 
 def prompts(events: DataFrame, by: list[str], order: list[str], time: Column) -> DataFrame:
