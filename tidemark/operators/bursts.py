@@ -9,18 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.temporal import gap_islands
+from tidemark.operators.temporal import gap_islands, gap_islands_in_parts
 
 START, MID, END = "start", "mid", "end"
 STALE, SWITCH, SPLIT = "stale", "monitor_switch", "max_length_exceeded"
 
 
-def with_bursts(events: DataFrame, gap: Column | int, session: str = "session_id", category: str = "category", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def with_bursts(events: DataFrame, gap: Column | int, session: str = "session_id", category: str = "category", ts: str = "ts", tie: str = "event_id", part: int | None = None) -> DataFrame:
     """``events`` with ``burst_no`` (from 1 in a session's category) and ``burst_start``, its first time.
 
     A burst goes on while the next event of its category comes within ``gap``.
+    With ``part``, so much time at most goes to one task, whatever a session's size.
     """
-    rows = gap_islands(events, [session, category], ts, [tie], gap, "burst_no")
+    keys = [session, category]
+    rows = gap_islands(events, keys, ts, [tie], gap, "burst_no") if part is None else gap_islands_in_parts(events, keys, ts, [tie], gap, part, "burst_no")
     return rows.withColumn("burst_start", F.min(ts).over(Window.partitionBy(session, category, "burst_no")))
 
 

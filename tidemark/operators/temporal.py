@@ -75,6 +75,47 @@ def gap_islands(rows: DataFrame, by: list[str], ts: str, tie: list[str], gap: Co
     return marked.withColumn(name, F.sum("_breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_breaks")
 
 
+def gap_islands_in_parts(rows: DataFrame, by: list[str], ts: str, tie: list[str], gap: Column | int, part: int, name: str = "island") -> DataFrame:
+    """As ``gap_islands`` for known times, but no task orders more than ``part`` of a ``by``'s time.
+
+    Gaps inside a part of time are found there. One row for each part, with its
+    ends and the gaps in it, tells whether a gap lies before it and how many
+    went before; that comes back by a join. For ``by`` values too large for one
+    task: even a third of all rows is spread over its parts.
+    """
+    order = Window.partitionBy(*by, "_part").orderBy(ts, *tie)
+    cut = rows.where(F.col(ts).isNotNull()).withColumn("_part", F.floor(F.col(ts) / part).cast("bigint")).withColumn("_gap", gap if isinstance(gap, Column) else F.lit(gap))
+    inside = F.coalesce(F.col(ts) - F.lag(ts).over(order) > F.col("_gap"), F.lit(False)).cast("int")
+    marked = cut.withColumn("_breaks", inside).withColumn("_local", F.sum("_breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy(*by, "_part").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.min_by("_gap", ts).alias("_own"), F.sum("_breaks").alias("_inside"))
+    parts = Window.partitionBy(*by).orderBy("_part")
+    ends = ends.withColumn("_before", F.lag("_last").over(parts))
+    ends = ends.withColumn("_begins", (F.col("_before").isNull() | (F.col("_first") - F.col("_before") > F.col("_own"))).cast("int"))
+    base = F.sum(F.col("_begins") + F.col("_inside")).over(parts.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside")
+    ends = ends.select(*by, "_part", base.alias("_base"))
+    return marked.join(ends, [*by, "_part"]).withColumn(name, (F.col("_base") + F.col("_local")).cast("bigint")).drop("_part", "_gap", "_breaks", "_local", "_base")
+
+
+def asof_in_parts(probes: DataFrame, frames: DataFrame, by: list[str], probe_ts: str, frame_ts: str, take: list[str], part: int, tie: str | None = None) -> DataFrame:
+    """As ``asof`` backward, but no task orders more than ``part`` of a ``by``'s time.
+
+    A probe is looked up among the frames of its own part of time. Those that
+    come before the first of these take the last frame of the parts before,
+    found among one row for each part.
+    """
+    cut = lambda df, ts: df.withColumn("_part", F.floor(F.col(ts) / part).cast("bigint"))
+    own = cut(frames.where(F.col(frame_ts).isNotNull()), frame_ts).withColumn("_hit", F.lit(True))
+    near = asof(cut(probes, probe_ts), own, [*by, "_part"], probe_ts, frame_ts, [*take, "_hit"], tie=tie)
+    last = F.max_by(F.struct(*take), F.struct(frame_ts, tie) if tie else F.col(frame_ts))
+    ends = own.groupBy(*by, "_part").agg(last.alias("_seen"))
+    # a row for each part in which there are probes or frames, carrying what the parts before it have seen
+    every = ends.unionByName(near.select(*by, "_part").distinct(), allowMissingColumns=True).groupBy(*by, "_part").agg(F.first("_seen", ignorenulls=True).alias("_seen"))
+    before = F.last("_seen", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = every.select(*by, "_part", before.alias("_carried"))
+    joined = near.join(carried, [*by, "_part"], "left")
+    return joined.select(*probes.columns, *(F.when(F.col("_hit"), F.col(c)).otherwise(F.col("_carried")[c]).alias(c) for c in take))
+
+
 def split_frames(rows: DataFrame, by: list[str], position: str, ts: str, gap: float, name: str = "segment") -> DataFrame:
     """Segments (from 1) of frames in ``position`` order, where two known times differ by more than ``gap``.
 

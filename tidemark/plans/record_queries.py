@@ -35,6 +35,12 @@ def burst_events(spark, sf_dir) -> DataFrame:
     return bursts.with_bursts(events(spark, sf_dir), GAP_US).select("event_id", "burst_no", "burst_start")
 
 
+@query("burst_numbers_in_parts", f"WITH {BURSTS_SQL} SELECT event_id, burst_no FROM burst")
+def burst_numbers_in_parts(spark, sf_dir) -> DataFrame:
+    """As ``burst_events``, for sessions too large for one task: three days at a time."""
+    return bursts.with_bursts(events(spark, sf_dir), GAP_US, part=3 * DAY).select("event_id", "burst_no")
+
+
 _TOTAL = " ".join(f"WHEN '{c}' THEN {t}" for c, t in TOTALS_US.items())
 MIDS_SQL = f"""WITH RECURSIVE {BURSTS_SQL},
     seq AS (
@@ -102,6 +108,17 @@ def frame_asof_before(spark, sf_dir) -> DataFrame:
     return found.select("event_id", _known("frame_id"), _known("at").alias("frame_ts"))
 
 
+@query(
+    "frame_asof_in_parts",
+    f"WITH {FRAMES_SQL} SELECT e.event_id, coalesce(f.frame_id, -1) AS frame_id FROM (SELECT *, ts - {PADDING_US} AS probe FROM ev WHERE category <> 'move') e ASOF LEFT JOIN fr f ON e.session_id = f.session_id AND e.probe >= f.frame_ts",
+)
+def frame_asof_in_parts(spark, sf_dir) -> DataFrame:
+    """As ``frame_asof_before``, for sessions too large for one task: two days at a time."""
+    probes = _probes(spark, sf_dir).withColumn("probe", F.col("ts") - PADDING_US)
+    found = temporal.asof_in_parts(probes, frames(spark, sf_dir), ["session_id"], "probe", "frame_ts", ["frame_id"], 2 * DAY, tie="frame_id")
+    return found.select("event_id", _known("frame_id"))
+
+
 @query(
     "frame_asof_after_pref",
     f"""WITH {FRAMES_SQL},
