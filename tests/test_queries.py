@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import label_queries, record_queries  # noqa: F401
+from tidemark.plans import function_queries, label_queries, record_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -27,7 +27,7 @@ def plain(df, columns):
     return sorted(str([None if pd.isna(v) else number(v) for v in row]) for row in df[columns].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, con, name):
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -35,6 +35,25 @@ def test_same_rows(spark, con, name):
     assert plain(got, columns) == plain(want, columns)
 
 
+def test_carried_cursor(spark):
+    """Without SQL: the same fold over rows on the driver."""
+    from tidemark.operators.cursor import leaving
+    from tidemark.plans.label_queries import _acted
+
+    days = {}
+    for r in sorted(_acted(spark, SF).collect(), key=lambda r: (r.session_id, r.ts, r.event_id)):
+        days.setdefault((r.session_id, r.ts // 86_400_000_000), []).append({"cursor_position": r.cursor_position, "monitor": r.monitor.asDict()})
+    want, key, pending = {}, None, []
+    for (session, day), events in sorted(days.items()):
+        pending = pending if session == key else []
+        monitor, key = events[0]["monitor"], session
+        events = pending + events
+        want[session, day] = len(events)
+        pending = leaving(events, monitor)
+    got = {(r.session_id, r.day): r.n_events for r in QUERIES["carried_cursor"](spark, SF).collect()}
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
