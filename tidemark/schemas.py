@@ -2,8 +2,8 @@
 
 MONITOR = "struct<left:int,top:int,width:int,height:int>"
 DETAILS = "struct<x:double,y:double,dx:int,dy:int,button:string,key:string,double_click:boolean,accessibility:string,focused_element:string>"
+EVENT_STRUCT = f"struct<timestamp:double,monitor_index:int,monitor:{MONITOR},event_type:string,details:{DETAILS},cursor_position:array<double>>"
 EVENT = f"timestamp double, monitor_index int, monitor {MONITOR}, event_type string, details {DETAILS}, cursor_position array<double>"
-EVENT_STRUCT = f"struct<{EVENT.replace('timestamp double', 'timestamp:double').replace(', monitor_index int', ',monitor_index:int').replace(', monitor struct', ',monitor:struct').replace(', event_type string', ',event_type:string').replace(', details struct', ',details:struct').replace(', cursor_position array', ',cursor_position:array')}>"
 SCREENSHOT = "timestamp double, path string, monitor_index int"
 AGGREGATION = (
     "timestamp double, reason string, event_type string, request_state string, screenshot_path string, screenshot_timestamp double, "
