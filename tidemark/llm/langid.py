@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import fresh, small_batches, stored, strings
+from tidemark.llm.util import fresh, small_batches, strings
 
 UNKNOWN = "und"
 #: Stands for any run of characters that aren't letters.
