@@ -59,8 +59,8 @@ class OpenBurst:
         return out
 
 
-def middles(bursts: DataFrame, totals: dict[str, int], session: str = "session_id", category: str = "category", ts: str = "ts", tie: str = "event_id", monitor: str = "monitor_index") -> DataFrame:
-    """The boundaries inside bursts: ``session``, ``category``, ``burst_no``, ``reason``, ``ts``, ``monitor_index``, ``event_id``.
+def folded(bursts: DataFrame, totals: dict[str, int], session: str = "session_id", category: str = "category", ts: str = "ts", tie: str = "event_id", monitor: str = "monitor_index") -> DataFrame:
+    """All boundaries of bursts: ``session``, ``category``, ``burst_no``, ``first_ts``, ``first_event``, ``request_state``, ``reason``, ``ts``, ``monitor_index``, ``event_id``.
 
     Where a burst splits depends on the split before, so its rows are folded in
     order. Bursts are dealt over the tasks by session, category and number,
@@ -70,31 +70,42 @@ def middles(bursts: DataFrame, totals: dict[str, int], session: str = "session_i
     keys = [session, category, "burst_no"]
     rows = bursts.select(*keys, F.col(ts).alias("ts"), F.col(monitor).alias("monitor_index"), F.col(tie).alias("event_id"))
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
-    kinds = dict(rows.dtypes)
+    columns = [*keys, "first_ts", "first_event", "request_state", "reason", "ts", "monitor_index", "event_id"]
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, burst = None, None
+        key, first, last, burst = None, None, None, None
         for b in batches:
             out = []
             for row in b.itertuples(index=False, name=None):
                 if row[:3] != key:
-                    key, burst = row[:3], OpenBurst(totals[row[1]])
+                    if key is not None:
+                        out.append((*key, *first, END, STALE, *last))
+                    key, first, burst = row[:3], (row[3], row[5]), OpenBurst(totals[row[1]])
+                    out.append((*key, *first, START, STALE, *row[3:]))
                 if found := burst.push(*row[3:]):
-                    out.append((*key, *found))
-            yield pd.DataFrame(out, columns=[*keys, "reason", "ts", "monitor_index", "event_id"])
+                    out.append((*key, *first, MID, *found))
+                last = row[3:]
+            yield pd.DataFrame(out, columns=columns)
+        if key is not None:
+            yield pd.DataFrame([(*key, *first, END, STALE, *last)], columns=columns)
 
-    return dealt.mapInPandas(fold, f"{session} {kinds[session]}, {category} string, burst_no bigint, reason string, ts bigint, monitor_index int, event_id bigint")
+    return dealt.mapInPandas(fold, f"{session} {dict(rows.dtypes)[session]}, {category} string, burst_no bigint, first_ts bigint, first_event bigint, request_state string, reason string, ts bigint, monitor_index int, event_id bigint")
 
 
-def boundaries(events: DataFrame, gap: Column | int, totals: dict[str, int]) -> DataFrame:
-    """Starts, splits and ends of all bursts: ``session_id``, ``category``, ``burst_id``, ``request_state``, ``reason``, ``ts``, ``event_id``, ``monitor_index``."""
-    bursts = with_bursts(events, gap)
-    ids = summaries(bursts)
-    ends = F.array(F.struct(F.lit(START).alias("s"), F.col("start_ts").alias("t"), F.col("first_event").alias("e")), F.struct(F.lit(END).alias("s"), F.col("end_ts").alias("t"), F.col("last_event").alias("e")))
-    outer = ids.select("session_id", "category", "burst_id", F.explode(ends).alias("x")).select("session_id", "category", "burst_id", F.col("x.s").alias("request_state"), F.lit(STALE).alias("reason"), F.col("x.t").alias("ts"), F.col("x.e").alias("event_id"))
-    inner = middles(bursts, totals).join(ids.select("session_id", "category", "burst_no", "burst_id"), ["session_id", "category", "burst_no"])
-    inner = inner.select("session_id", "category", "burst_id", F.lit(MID).alias("request_state"), "reason", "ts", "event_id")
-    return outer.unionByName(inner)
+def middles(bursts: DataFrame, totals: dict[str, int], **columns: str) -> DataFrame:
+    """The boundaries inside bursts, without ``first_ts``, ``first_event`` and ``request_state``."""
+    return folded(bursts, totals, **columns).where(F.col("request_state") == MID).drop("first_ts", "first_event", "request_state")
+
+
+def boundaries(events: DataFrame, gap: Column | int, totals: dict[str, int], part: int | None = None) -> DataFrame:
+    """Starts, splits and ends of all bursts: ``session_id``, ``category``, ``burst_id``, ``request_state``, ``reason``, ``ts``, ``event_id``.
+
+    One pass over the events: numbered into bursts, folded, and the few
+    boundaries then ranked by their burst's start for its id.
+    """
+    rows = folded(with_bursts(events, gap, part=part), totals)
+    place = F.dense_rank().over(Window.partitionBy("session_id").orderBy("first_ts", "first_event"))
+    return rows.select("session_id", "category", place.cast("bigint").alias("burst_id"), "request_state", "reason", "ts", "event_id")
 
 
 def throttled(events: DataFrame, every_us: int, always: Column, by: list[str], ts: str = "ts", tie: str = "event_id") -> DataFrame:
