@@ -135,4 +135,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))
     marked = whole.select(F.col(fp).alias("fp"), key.alias("key"))
     kept = components(marked, "key", max_distance).groupBy("component_id.rid").agg(F.lit(1).alias("one")).select(F.col("rid").alias(rid))
-    return whole.join(stored(kept, "kept"), rid, "left_semi").select(*docs.columns)
+    # whatever its size, the table of kept rows is dealt by a key of even spread, and never broadcast
+    return whole.join(stored(kept, "kept").hint("shuffle_hash"), rid, "left_semi").select(*docs.columns)
