@@ -43,23 +43,31 @@ def rooted(nodes: DataFrame, score: Column) -> tuple[DataFrame, list[DataFrame]]
     """Every node's depth and score summed from the root, by self-joins that double the reach of each round.
 
     Returns (``tree``, ``node``, ``depth``, ``total``), and the table of every
-    round: for each node its ancestor 2**k steps up. A tree of depth d takes
-    log2(d) rounds. Nodes whose parent isn't there count as roots.
+    round: for each node that has one its ancestor 2**k steps up. A tree of
+    depth d takes log2(d) rounds, and a round joins only the nodes that have
+    not reached their root. Nodes whose parent isn't there count as roots.
     """
     own = nodes.select("tree", "node", "parent", score.cast("double").alias("score"))
-    there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("up"))
+    there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("above"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    hop = own.join(there, same("tree", "t") & (F.col("parent") == F.col("up")), "left").select("tree", "node", "up", F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
-    hops = [stored(hop, "hops")]
-    most = hops[0].count().bit_length()
-    while hops[-1].where("up is not null").limit(1).count():
+    hop = own.join(there, same("tree", "t") & (F.col("parent") == F.col("above")), "left")
+    hop = stored(hop.select("tree", "node", F.col("above").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "hops")
+    ended, hops, most = [hop.where("up is null")], [], hop.count().bit_length()
+    while (open_ := hop.where("up is not null")).limit(1).count():
         if len(hops) > most:
             raise ValueError("the replies go round in a circle")
-        far = hops[-1].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        joined = hops[-1].join(far, same("tree", "t") & (F.col("up") == F.col("n")), "left")
-        more = lambda c: F.coalesce(c, F.lit(0))
-        hops.append(stored(joined.select("tree", "node", F.col("further").alias("up"), (F.col("depth") + more("d")).alias("depth"), (F.col("total") + more("s")).alias("total")), "hops"))
-    return hops[-1].select("tree", "node", "depth", "total"), hops[:-1]
+        hops.append(open_)
+        known = open_
+        for e in ended:
+            known = known.union(e)
+        far = known.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("further"), F.col("depth").alias("d"), F.col("total").alias("s"))
+        joined = open_.join(far, same("tree", "t") & (F.col("up") == F.col("n")))
+        hop = stored(joined.select("tree", "node", F.col("further").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total")), "hops")
+        ended.append(hop.where("up is null"))
+    sums = ended[0]
+    for e in ended[1:]:
+        sums = sums.union(e)
+    return sums.select("tree", "node", "depth", "total"), hops
 
 
 def paths(nodes: DataFrame, best: int = 1, score: Column | None = None) -> DataFrame:
@@ -80,7 +88,7 @@ def paths(nodes: DataFrame, best: int = 1, score: Column | None = None) -> DataF
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     on_path = chosen.select("tree", "rank", F.col("node").alias("leaf"), "node")
     for hop in reversed(hops):
-        step = hop.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        step = hop.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = on_path.join(step, same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "rank", "leaf", F.col("up").alias("node"))
         on_path = on_path.union(above)
         if len(hops) > 1:
