@@ -39,7 +39,7 @@ def chains(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
 
 
-def rooted(nodes: DataFrame, score: Column) -> tuple[DataFrame, list[DataFrame]]:
+def rooted(shape: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Every node's depth and score summed from the root, by self-joins that double the reach of each round.
 
     Returns (``tree``, ``node``, ``depth``, ``total``), and the table of every
@@ -47,10 +47,9 @@ def rooted(nodes: DataFrame, score: Column) -> tuple[DataFrame, list[DataFrame]]
     depth d takes log2(d) rounds, and a round joins only the nodes that have
     not reached their root. Nodes whose parent isn't there count as roots.
     """
-    own = nodes.select("tree", "node", "parent", score.cast("double").alias("score"))
-    there = nodes.select(F.col("tree").alias("t"), F.col("node").alias("above"))
+    there = shape.select(F.col("tree").alias("t"), F.col("node").alias("above"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    hop = own.join(there, same("tree", "t") & (F.col("parent") == F.col("above")), "left")
+    hop = shape.join(there, same("tree", "t") & (F.col("parent") == F.col("above")), "left")
     hop = stored(hop.select("tree", "node", F.col("above").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "hops")
     ended, hops, most = [hop.where("up is null")], [], hop.count().bit_length()
     while (open_ := hop.where("up is not null")).limit(1).count():
@@ -78,21 +77,22 @@ def paths(nodes: DataFrame, best: int = 1, score: Column | None = None) -> DataF
     Without ``score`` a node scores the length of its text. Paths of the same
     score go by depth, deeper first, then by leaf. From the chosen leaves, the
     nodes above are enumerated with the tables of all rounds, longest steps
-    first, so the rows at any time are those of chosen paths.
+    first, so the rows at any time are those of chosen paths. The shape of the
+    trees is stored once, without texts; these are joined at the end.
     """
-    sums, hops = rooted(nodes, F.length("text") if score is None else score)
+    worth = (F.length("text") if score is None else score).cast("double").alias("score")
+    shape = stored(nodes.select("tree", "node", "parent", worth), "shape")
+    sums, hops = rooted(shape)
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    inner = nodes.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
+    inner = shape.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = sums.join(inner, same("tree", "t") & (F.col("node") == F.col("p")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("depth").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
-    on_path = chosen.select("tree", "rank", F.col("node").alias("leaf"), "node")
+    on_path = stored(chosen.select("tree", "rank", F.col("node").alias("leaf"), "node"), "paths")
     for hop in reversed(hops):
         step = hop.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = on_path.join(step, same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "rank", "leaf", F.col("up").alias("node"))
-        on_path = on_path.union(above)
-        if len(hops) > 1:
-            on_path = stored(on_path, "paths")
+        on_path = stored(on_path.union(above), "paths")
     depths = sums.select(F.col("tree").alias("t"), F.col("node").alias("n"), (F.col("depth") - 1).alias("at"))
     texts = nodes.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "role", "text")
     found = on_path.join(depths, same("tree", "t") & (F.col("node") == F.col("n"))).join(texts, same("tree", "t2") & (F.col("node") == F.col("n2")))
