@@ -199,7 +199,7 @@ ROWS_SQL = EVENTS_SQL + "," + CAPTIONS_SQL + """,
 
 
 def _caption_rows(spark, sf_dir) -> DataFrame:
-    return events(spark, sf_dir).where("event_id % 5 = 0")
+    return events(spark, sf_dir)
 
 
 @query("caption_match_raw", f"WITH {ROWS_SQL} SELECT session_id, turn, caption, start_index, end_index, end_index - start_index + 1 AS n_rows FROM mb")
