@@ -51,3 +51,21 @@ def test_captions_match_all_events(spark, tables):
         tails[s, t] = (a, len(rows[s]) - 1 if free else b, b - a + 1 + len(free))
     got = {(r.session_id, r.turn): (r.start_index, r.end_index, r.n_rows) for r in QUERIES["caption_tail_attach"](spark, folder).collect()}
     assert got == tails and any(tails[k][2] > 1 for k in tails)
+
+
+def test_captions_are_whole_texts(spark, tables):
+    folder, events, turns = tables
+    by_turn = {(s, t): text for s, t, _, text in turns}
+    assert min(map(len, by_turn.values())) > 12
+    got = {(r.session_id, r.turn): r.caption for r in QUERIES["caption_match_raw"](spark, folder).collect()}
+    assert got == {k: v for k, v in by_turn.items() if k[0] != 4}
+    for r in QUERIES["dataset_format2"](spark, folder).collect():
+        assert r.text == by_turn[r.session_id, r.turn]
+    got = {(r.session_id, r.event_no): r.caption for r in QUERIES["sanitized_captions"](spark, folder).collect()}
+    assert got == {(s, t): "[removed]" if t % 3 == 1 else text for (s, t), text in by_turn.items()}
+    got = {(r.session_id, r.event_no): r.caption for r in QUERIES["noise_events"](spark, folder).collect()}
+    assert got == {(s, t): text for (s, t), text in by_turn.items() if t == 3}
+    got = {(r.session_id, r.task_id): r.captions for r in QUERIES["task_groups"](spark, folder).collect()}
+    assert got == {(s, task): "|".join(by_turn[s, t] for t in own) for s in (1, 2, 3, 4) for task, own in (("a", (0, 2, 4)), ("b", (1, 2, 5)))}
+    got = {r.session_id: r.transcript for r in QUERIES["transcript"](spark, folder).collect()}
+    assert got == {s: "\n".join(f"[ID: {t} | Time: 00:{t * 2:02d}] {by_turn[s, t]}" for t in range(6)) for s in (1, 2, 3, 4)}

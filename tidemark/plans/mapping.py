@@ -42,7 +42,7 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as captions: ``session_id``, ``turn``, ``start_seconds``, ``end_seconds``, ``caption``."""
     length = F.length("text") % 4
     rows = table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").alias("session_id"), "turn", (F.col("turn") * 2).cast("int").alias("start_seconds"), (F.col("turn") * 2 + length).cast("int").alias("end_seconds"), F.substring("text", 1, 12).alias("caption"))
+    return rows.select(F.col("conv_id").alias("session_id"), "turn", (F.col("turn") * 2).cast("int").alias("start_seconds"), (F.col("turn") * 2 + length).cast("int").alias("end_seconds"), F.col("text").alias("caption"))
 
 
 # The same views in SQL, to be put before a query.
