@@ -76,6 +76,17 @@ def test_frames_from_the_ring(spark, tmp_path):
     assert sorted((r.event_id, r.frame_id) for r in got) == [(t, t) for t in range(50)]
 
 
+@pytest.mark.parametrize(("parts", "ring", "back"), [(1, 5, 4), (5, 5, 4), (1, 4, None), (5, 4, None)])
+def test_frames_do_not_depend_on_batches(spark, tmp_path, parts, ring, back):
+    frames = [(0, t * 100_000, None, t) for t in range(50)]
+    events = [(0, t * 100_000 + 80_000, t, None) for t in range(50)]
+    both = sorted(frames + events, key=lambda r: r[1])
+    stream = stream_of(spark, tmp_path, both, "session_id long, ts long, event_id long, frame_id long", parts)
+    out = live.stream_frames(stream.where("event_id is not null"), stream.where("frame_id is not null"), ring, 450_000)
+    got = collected(spark, out, tmp_path, f"ring_{parts}_{ring}").collect()
+    assert sorted((r.event_id, r.frame_id) for r in got) == [(t, t - back if back and t >= back else None) for t in range(50)]
+
+
 def test_segments_and_window(spark):
     rows = [(1, 1, "key", 10, "start", 1), (1, 1, "key", 20, "mid", 2), (1, 1, "key", 30, "end", 3), (1, 2, "key", 40, "end", 4), (1, 3, "key", 50, "mid", 5)]
     requests = spark.createDataFrame(rows, "session_id long, burst_id long, category string, ts long, request_state string, event_id long")

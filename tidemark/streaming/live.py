@@ -109,8 +109,9 @@ def stream_frames(events: DataFrame, frames: DataFrame, ring: int, padding_us: i
     """A stream of events, each with the last frame at least ``padding_us`` older, from the newest ``ring`` frames of its session.
 
     Both streams (``session_id``, ``ts``, and ``event_id`` or ``frame_id``) go
-    into one state; the ring bounds it. Frames of a batch are put in first, in
-    time order wherever they arrive late.
+    into one state; the ring bounds it. Frames and events of a batch are taken
+    in time order, so an event's ring holds the frames up to its own time,
+    however many a batch brings.
     """
     both = events.select("session_id", "ts", "event_id", F.lit(None).cast("long").alias("frame_id")).unionByName(frames.select("session_id", "ts", F.lit(None).cast("long").alias("event_id"), "frame_id"))
 
@@ -118,12 +119,13 @@ def stream_frames(events: DataFrame, frames: DataFrame, ring: int, padding_us: i
         kept = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
         rows = pd.concat(list(batches)).sort_values("ts")
         shots = rows[rows["frame_id"].notna()]
-        kept = sorted(kept + [(int(t), int(f)) for t, f in zip(shots["ts"], shots["frame_id"], strict=True)])[-ring:]
+        kept = sorted(kept + [(int(t), int(f)) for t, f in zip(shots["ts"], shots["frame_id"], strict=True)])
         times, out = [t for t, _ in kept], []
         for ts, event in rows.loc[rows["event_id"].notna(), ["ts", "event_id"]].itertuples(index=False, name=None):
             at = bisect_right(times, ts - padding_us)
-            out.append((*key, int(event), int(ts), kept[at - 1][1] if at else None))
-        state.update((json.dumps(kept),))
+            oldest = max(0, bisect_right(times, ts) - ring)
+            out.append((*key, int(event), int(ts), kept[at - 1][1] if at > oldest else None))
+        state.update((json.dumps(kept[-ring:]),))
         yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype="Int64") for i, c in enumerate(("session_id", "event_id", "ts", "frame_id"))})
 
     return both.groupBy("session_id").applyInPandasWithState(step, "session_id long, event_id long, ts long, frame_id long", "ring string", "append", GroupStateTimeout.NoTimeout)
