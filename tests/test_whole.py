@@ -1,5 +1,6 @@
 """Registered queries take every row and whole texts: against plain Python over small tables."""
 
+import base64
 import datetime as dt
 
 import pytest
@@ -69,3 +70,9 @@ def test_captions_are_whole_texts(spark, tables):
     assert got == {(s, task): "|".join(by_turn[s, t] for t in own) for s in (1, 2, 3, 4) for task, own in (("a", (0, 2, 4)), ("b", (1, 2, 5)))}
     got = {r.session_id: r.transcript for r in QUERIES["transcript"](spark, folder).collect()}
     assert got == {s: "\n".join(f"[ID: {t} | Time: 00:{t * 2:02d}] {by_turn[s, t]}" for t in range(6)) for s in (1, 2, 3, 4)}
+
+
+def test_functions_of_whole_texts(spark, tables):
+    folder, _, turns = tables
+    got = {(r.conv_id, r.turn): (r.url, r.filled) for r in QUERIES["text_functions"](spark, folder).collect()}
+    assert got == {(s, t): ("data:text/plain;base64," + base64.b64encode(text.encode()).decode(), f"Log: {text}.") for s, t, _, text in turns}

@@ -78,8 +78,8 @@ def frame_names(spark, sf_dir) -> DataFrame:
 def text_functions(spark, sf_dir) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     answer = F.concat(F.lit("Sure, here: ["), F.col("turn").cast("string"), F.lit("] - done"))
-    url = text.data_url(F.substring("text", 1, 30).cast("binary"), F.lit("text/plain"))
-    return rows.select("conv_id", "turn", text.sql_quoted(F.col("text")).alias("quoted"), F.regexp_replace(url, "\\s", "").alias("url"), text.filled("Log: {{LOGS}}.", F.substring("text", 1, 9)).alias("filled"), text.salvaged_json(answer).alias("salvaged"))
+    url = text.data_url(F.col("text").cast("binary"), F.lit("text/plain"))
+    return rows.select("conv_id", "turn", text.sql_quoted(F.col("text")).alias("quoted"), F.regexp_replace(url, "\\s", "").alias("url"), text.filled("Log: {{LOGS}}.", F.col("text")).alias("filled"), text.salvaged_json(answer).alias("salvaged"))
 
 
 @query(
