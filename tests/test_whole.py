@@ -76,3 +76,24 @@ def test_functions_of_whole_texts(spark, tables):
     folder, _, turns = tables
     got = {(r.conv_id, r.turn): (r.url, r.filled) for r in QUERIES["text_functions"](spark, folder).collect()}
     assert got == {(s, t): ("data:text/plain;base64," + base64.b64encode(text.encode()).decode(), f"Log: {text}.") for s, t, _, text in turns}
+
+
+def test_reconstructed_gathers_no_session(spark, tables):
+    folder, events, _ = tables
+    out = QUERIES["reconstructed"](spark, folder)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "raw_events" not in plan
+    _, rows = matched(events, [])
+    seconds = lambda e: (e[1] - dt.datetime(1970, 1, 1)) / dt.timedelta(seconds=1)
+    left = lambda e: 0 if e[0] * 13 % 100 % 3 == 0 else 1000
+    assert {(r.session_id, r.n_events, r.timestamp, r.monitor_left, r.event_type) for r in out.collect()} == {(s, len(own), seconds(own[0]), left(own[0]), "mixed") for s, own in rows.items()}
+
+
+def test_reconstructed_aggregations(spark):
+    from tidemark.operators.cursor import reconstructed
+
+    monitor = "struct<left:int>"
+    rows = [("a", [("click", (7,)), ("view", (8,))], 1.0, 2.0, None), ("b", [], 1.0, 2.0, 0.5)]
+    matched = spark.createDataFrame(rows, f"img string, raw_events array<struct<event_type:string,monitor:{monitor}>>, start_time double, end_time double, scale_factor double")
+    got = reconstructed(matched).collect()
+    assert [(r.screenshot_path, r.monitor.left, r.event_type, len(r.events), r.scale_factor) for r in got] == [("a", 7, "mixed", 2, 1.0)]

@@ -155,11 +155,10 @@ def inner_events(spark, sf_dir) -> DataFrame:
 
 @query("reconstructed", f"WITH {ACTED_SQL} SELECT session_id, count(*) AS n_events, min(ts) / 1e6 AS timestamp, arg_min(ml, ts) AS monitor_left, 'mixed' AS event_type FROM y GROUP BY session_id")
 def reconstructed(spark, sf_dir) -> DataFrame:
-    rows = _acted(spark, sf_dir).select("session_id", "ts", "event_id", F.struct("event_type", "monitor").alias("e"))
-    whole = rows.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "e"))), lambda x: x["e"]).alias("raw_events"), (F.min("ts") / 1e6).alias("start_time"), (F.max("ts") / 1e6).alias("end_time"))
-    rows = whole.select(F.col("session_id").cast("string").alias("img"), "raw_events", "start_time", "end_time", F.lit(None).cast("double").alias("scale_factor"))
-    out = cursor.reconstructed(rows)
-    return out.select(F.col("screenshot_path").cast("bigint").alias("session_id"), F.size("events").cast("bigint").alias("n_events"), "timestamp", F.col("monitor.left").alias("monitor_left"), "event_type")
+    """What an aggregation of each session would say; its events are counted, never gathered."""
+    first = F.min_by(F.col("monitor.left"), F.struct("ts", "event_id"))
+    whole = _acted(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("n_events"), (F.min("ts") / 1e6).alias("timestamp"), first.alias("monitor_left"))
+    return whole.select("session_id", "n_events", "timestamp", "monitor_left", F.lit("mixed").alias("event_type"))
 
 
 @query("prompt_bullets", f"WITH {ACTED_SQL} SELECT session_id, '• ' || string_agg(action, chr(10) || '• ' ORDER BY pos) AS bullets FROM every GROUP BY session_id")
