@@ -48,6 +48,24 @@ def test_every_template_in_noise(name):
         assert found[0]["license"] == name and 0.8 < found[0]["coverage"] < 1
 
 
+@pytest.mark.parametrize("extra", [9, 20, 60])
+@pytest.mark.parametrize("name", ["MIT", "BSD", "Apache-2.0", "GPL-3.0", "ISC"])
+def test_words_put_into_the_middle(name, extra):
+    rng = random.Random(f"{name} {extra}")
+    put_in = lambda n: " ".join("".join(rng.choices("xqzvkj", k=6)) for _ in range(n))
+    notice = licenses.TEMPLATES[name].split()
+    extra = min(extra, len(notice) - 2)
+    middle = len(notice) // 2
+    split = " ".join([*notice[:middle], put_in(extra), *notice[middle:]])
+    text = f"{put_in(30)} {split} {put_in(30)}"
+    assert [(f["license"], f["coverage"]) for f in licenses.scan(text, INDEX)] == [(name, 1.0)]
+    # two places, and a second copy
+    third = len(notice) // 3
+    split = " ".join([*notice[:third], put_in(extra), *notice[third : 2 * third], put_in(extra), *notice[2 * third :]])
+    found = licenses.scan(f"{split} {put_in(5)} {split}", INDEX)
+    assert [(f["license"], f["coverage"]) for f in found] == [(name, 1.0)] * 2
+
+
 def test_winnowing_keeps_one_of_each_window():
     rng = random.Random(1)
     hashes = [rng.randrange(50) for _ in range(300)]

@@ -34,6 +34,9 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Words by which an alignment may reach beyond the outermost hits of its diagonal.
+REACH = 128
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -70,24 +73,24 @@ class Index:
                 self.postings[gram(of, i, k)].append((t, i))
 
 
-def align(template: list[int], text: list[int | None], start: int, band: int) -> tuple[int, int, int, int] | None:
-    """The best local alignment of a template around one diagonal: (score, matched words, first, end) in the text.
+def align(template: list[int], text: list[int | None], start: int, band: int) -> tuple[int, int, int, int, int, int] | None:
+    """The best local alignment of a template around one diagonal: (score, matched words, first, end) in the text, (first, end) in the template.
 
     ``start`` is where the template's first word falls in the text; an
     alignment may stray ``band`` words from that diagonal. A match scores 1, a
     mismatch or a gap -1. Equal scores go to the one that ends first.
     """
     width = 2 * band + 1
-    score, matched, begun = [0] * width, [0] * width, [0] * width
-    best = (0, 0, 0, 0)
+    score, matched, begun = [0] * width, [0] * width, [(0, 0)] * width
+    best = (0, 0, 0, 0, 0, 0)
     for i, word in enumerate(template):
-        new_score, new_matched, new_begun = [0] * width, [0] * width, [0] * width
+        new_score, new_matched, new_begun = [0] * width, [0] * width, [(0, 0)] * width
         for c in range(width):
             j = start + i + c - band
             if not 0 <= j < len(text):
                 continue
             same = text[j] == word
-            options = [(score[c] + (1 if same else -1), matched[c] + same, begun[c] if score[c] > 0 else j)]
+            options = [(score[c] + (1 if same else -1), matched[c] + same, begun[c] if score[c] > 0 else (j, i))]
             if c + 1 < width:
                 options.append((score[c + 1] - 1, matched[c + 1], begun[c + 1]))
             if c:
@@ -96,7 +99,7 @@ def align(template: list[int], text: list[int | None], start: int, band: int) ->
             if top[0] > 0:
                 new_score[c], new_matched[c], new_begun[c] = top
                 if top[0] > best[0]:
-                    best = (top[0], top[1], top[2], j + 1)
+                    best = (top[0], top[1], top[2][0], j + 1, top[2][1], i + 1)
         score, matched, begun = new_score, new_matched, new_begun
     return best if best[0] else None
 
@@ -107,6 +110,8 @@ def scan(text: str, index: Index, least_coverage: float = 0.6, band: int = 8) ->
     Words in a row that make one of a template's fingerprints are a hit. Hits
     whose diagonals lie close together are aligned together, within a band
     (a quarter of the template at most) around the most frequent of them.
+    Alignments that follow each other in the text and in the template are one
+    match, whatever stands between them, up to as many words as the template has.
     ``coverage`` is the share of the template's words that match. Of matches that overlap,
     the one with the highest alignment score stays, then the better covered.
     """
@@ -123,10 +128,9 @@ def scan(text: str, index: Index, least_coverage: float = 0.6, band: int = 8) ->
     for t, own in hits.items():
         template = index.templates[t]
         near = max(1, min(band, len(template) // 4))
-        for start in _diagonals(own, near):
-            aligned = align(template, numbers, start, near)
-            if aligned and aligned[1] / len(template) >= least_coverage:
-                found.append((-aligned[0], -aligned[1] / len(template), t, *aligned[1:]))
+        for score, matched, first, end in _chains(_pieces(template, numbers, own, near), near, len(template)):
+            if matched / len(template) >= least_coverage:
+                found.append((-score, -matched / len(template), t, matched, first, end))
     kept: list[tuple] = []
     for f in sorted(set(found)):
         if all(f[5] <= o[4] or f[4] >= o[5] for o in kept):
@@ -153,6 +157,63 @@ def _diagonals(hits: list[tuple[int, int]], band: int) -> list[int]:
     return out
 
 
+def _pieces(template: list[int], text: list[int | None], hits: list[tuple[int, int]], band: int) -> list[tuple]:
+    """Local alignments of a template, as ``align`` gives them, that hold all hits: by diagonal, and on both sides of what was found on it."""
+    out, taken = [], set()
+    for start in _diagonals(hits, band):
+        own = sorted((i, at) for at, i in hits if abs(at - i - start) <= band)
+        todo = [(0, len(template))]
+        while todo:
+            low, high = todo.pop()
+            inside = [i for i, at in own if low <= i < high and at not in taken]
+            if not inside:
+                continue
+            low, high = max(low, inside[0] - REACH), min(high, inside[-1] + REACH)
+            piece = align(template[low:high], text, start + low, band)
+            if not piece:
+                continue
+            out.append((*piece[:4], piece[4] + low, piece[5] + low))
+            taken.update(range(piece[2], piece[3]))
+            todo += [(low, piece[4] + low), (piece[5] + low, high)]
+    return out
+
+
+def _chains(pieces: list[tuple], band: int, reach: int) -> list[tuple[int, int, int, int]]:
+    """Pieces joined where one follows another in text and template, ``reach`` words of text between them at most: (score, matched, first, end).
+
+    Words between two pieces cost 1 each, ``band`` at most; words that both hold count once.
+    """
+    order = sorted(set(pieces), key=lambda p: (p[2], p[3], p[4]))
+    best: list[tuple] = []
+    for at, (score, matched, first, end, begin, stop) in enumerate(order):
+        top = (score, matched, first, -1)
+        for j in range(at - 1, -1, -1):
+            before = order[j]
+            if first - before[2] > 2 * reach + band:
+                break
+            both = max(0, before[3] - first, before[5] - begin)
+            gap = first - before[3]
+            if gap > reach or both > min(score, before[0]) // 2 or before[4] >= begin or before[5] >= stop or before[3] >= end:
+                continue
+            joined = best[j][0] + score - both - max(0, min(gap, band))
+            if joined > max(top[0], best[j][0]):
+                top = (joined, best[j][1] + matched - both, best[j][2], j)
+        best.append(top)
+    out, used = [], set()
+    for at in sorted(range(len(order)), key=lambda i: (-best[i][0], i)):
+        path, j = [], at
+        while j >= 0 and j not in used:
+            path.append(j)
+            j = best[j][3]
+        if path and j < 0:
+            out.append((best[at][0], best[at][1], best[at][2], order[at][3]))
+            used.update(path)
+        elif path:  # what it would follow belongs to a better chain
+            out += [(order[i][0], order[i][1], order[i][2], order[i][3]) for i in path]
+            used.update(path)
+    return out
+
+
 SCHEMA = "array<struct<license:string,coverage:double,matched:int,start:int,stop:int>>"
 
 
