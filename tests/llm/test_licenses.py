@@ -66,6 +66,24 @@ def test_words_put_into_the_middle(name, extra):
     assert [(f["license"], f["coverage"]) for f in found] == [(name, 1.0)] * 2
 
 
+def test_families_and_whole_texts():
+    found = lambda text: [(f["license"], f["start"], f["stop"]) for f in licenses.scan(text, INDEX)]
+    gpl = licenses.TEMPLATES["GPL-2.0"]
+    lesser = gpl.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of")
+    affero = licenses.TEMPLATES["GPL-3.0"].replace("GNU General", "GNU Affero General")
+    assert found(lesser) == [("LGPL-2.1", 0, len(lesser) - 1)] and found(affero) == [("AGPL-3.0", 0, len(affero) - 1)]
+    assert [f[0] for f in found(gpl)] == ["GPL-2.0"] and [f[0] for f in found(licenses.TEMPLATES["GPL-3.0"])] == ["GPL-3.0"]
+    eclipse = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"
+    assert [f[0] for f in found(eclipse)] == ["EPL-2.0"]
+    # the regents' text, whose third clause and disclaimer name others
+    regents = licenses.TEMPLATES["BSD-3-Clause full"].replace("the copyright holder nor", "the University nor").replace("COPYRIGHT HOLDERS AND", "REGENTS AND").replace("COPYRIGHT HOLDER OR", "REGENTS OR")
+    assert found(regents) == [("BSD-3-Clause full", 0, len(regents) - 1)]
+    assert [f[0] for f in found(licenses.TEMPLATES["BSD-2-Clause full"])] == ["BSD-2-Clause full"]
+    for name, end in (("MIT full", "SOFTWARE."), ("ISC full", "SOFTWARE.")):
+        text = licenses.TEMPLATES[name]
+        assert text.endswith(end) and found(f"Copyright 2020 A. Holder\n\n{text}") == [(name, 26, 25 + len(text))]
+
+
 def test_winnowing_keeps_one_of_each_window():
     rng = random.Random(1)
     hashes = [rng.randrange(50) for _ in range(300)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import xxhash
@@ -32,8 +34,30 @@ TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "LGPL-2.0": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "EPL-1.0": "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
+_MIT_END = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC_END = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_UNLICENSE_END = 'Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>'
+# Whole texts: the short ones here, the long ones in files.
+TEMPLATES |= {
+    "BSD-2-Clause full": f"{TEMPLATES['BSD']} {_BSD_END}",
+    "BSD-3-Clause full": f"{TEMPLATES['BSD']} {_BSD_THIRD} {_BSD_END}",
+    "ISC full": f"{TEMPLATES['ISC']} {_ISC_END}",
+    "MIT full": f"{TEMPLATES['MIT']} {_MIT_END}",
+    "Unlicense full": f"{TEMPLATES['Unlicense']} {_UNLICENSE_END}",
+}
+TEMPLATES |= {f.stem: f.read_text("utf-8") for f in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
 
+#: Of a template of over 128 words, the share of its fingerprints that a text must hold to be aligned with it.
+LEAST_HITS = 0.1
 #: Words by which an alignment may reach beyond the outermost hits of its diagonal.
 REACH = 128
 
@@ -127,6 +151,8 @@ def scan(text: str, index: Index, least_coverage: float = 0.6, band: int = 8) ->
     found = []
     for t, own in hits.items():
         template = index.templates[t]
+        if len(template) > 128 and len({i for _, i in own}) < LEAST_HITS * index.fingerprints[t]:
+            continue
         near = max(1, min(band, len(template) // 4))
         for score, matched, first, end in _chains(_pieces(template, numbers, own, near), near, len(template)):
             if matched / len(template) >= least_coverage:
@@ -150,18 +176,22 @@ def _lowered(text: str) -> str:
 
 def _diagonals(hits: list[tuple[int, int]], band: int) -> list[int]:
     """Where templates may start, one for each cluster of hits (text position, template position)."""
-    starts, out = Counter(at - i for at, i in hits), []
+    starts, out, near = Counter(at - i for at, i in hits), [], []
     for start, _ in starts.most_common():
-        if all(abs(start - o) > band for o in out):
+        k = bisect_left(near, start - band)
+        if k == len(near) or near[k] > start + band:
+            near.insert(k, start)
             out.append(start)
     return out
 
 
 def _pieces(template: list[int], text: list[int | None], hits: list[tuple[int, int]], band: int) -> list[tuple]:
     """Local alignments of a template, as ``align`` gives them, that hold all hits: by diagonal, and on both sides of what was found on it."""
-    out, taken = [], set()
+    out, taken, on = [], set(), defaultdict(list)
+    for at, i in hits:
+        on[at - i].append((i, at))
     for start in _diagonals(hits, band):
-        own = sorted((i, at) for at, i in hits if abs(at - i - start) <= band)
+        own = sorted(h for d in range(start - band, start + band + 1) for h in on.get(d, ()))
         todo = [(0, len(template))]
         while todo:
             low, high = todo.pop()
