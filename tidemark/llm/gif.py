@@ -12,9 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.util import small_batches, strings
+from tidemark.llm.util import sliced, strings
 
 MOST_CODES = 4096
+#: Pixels that a canvas or a frame to be read may have; a damaged size could ask for gigabytes.
+MOST_PIXELS = 1 << 26
 #: Sample n is shown as the grey of level n.
 GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(256, 3)
 BINS = 16
@@ -189,8 +191,13 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 def read_gif(data: bytes) -> list[Frame]:
     """All frames with their canvases; a stream that breaks off or isn't a GIF raises ``ValueError``."""
+    return list(each_frame(data))
+
+
+def each_frame(data: bytes) -> Iterator[Frame]:
+    """As ``read_gif``, one frame after another."""
     try:
-        return list(_frames(data))
+        yield from _frames(data)
     except (IndexError, struct.error) as e:
         raise ValueError("the GIF ends early") from e
 
@@ -207,6 +214,8 @@ def _frames(data: bytes) -> Iterator[Frame]:
 
     if packed & 0x80:
         common, at = colours(packed, at)
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((height, width), "<u4")
     delay, disposal, transparent = 0, 0, None
     while data[at] != 0x3B:
@@ -225,6 +234,8 @@ def _frames(data: bytes) -> Iterator[Frame]:
         if flags & 0x80:
             palette, at = colours(flags, at)
         bits, at = data[at], at + 1
+        if not 2 <= bits <= 8 or rows * cols > MOST_PIXELS:
+            raise ValueError("no code size or frame size of a GIF")
         stream, at = _blocks(data, at)
         samples = np.frombuffer(lzw_samples(stream, bits, rows * cols), np.uint8).reshape(rows, cols)
         if flags & 0x40:
@@ -263,12 +274,15 @@ def store_text(text: str, width: int = 64, most_rows: int = 4096) -> bytes:
 
 
 def with_gif(docs: DataFrame, text_col: str = "text", name: str = "media") -> DataFrame:
-    """All columns of ``docs`` and the whole text stored as a GIF; a null text counts as empty."""
-    small_batches(docs.sparkSession)
+    """All columns of ``docs`` and the whole text stored as a GIF; a null text counts as empty.
+
+    Repeated rows stay repeated, a column ``name`` is replaced, an empty table stays empty.
+    """
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([store_text(t) for t in strings(b.column(at))], pa.binary())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
@@ -282,9 +296,10 @@ def with_frames(media: DataFrame, media_col: str = "media", frames_name: str = "
 
     A frame has its rectangle, delay and a histogram: for each of red, green
     and blue, ``BINS`` counts of its visible pixels. What isn't a whole GIF, or
-    is null, has null in both columns.
+    is null, has null in both columns. Repeated rows stay repeated, columns of
+    these names are replaced, an empty table stays empty.
     """
-    small_batches(media.sparkSession)
+    media = media.drop(frames_name, samples_name)
     at = media.columns.index(media_col)
     kind = T._parse_datatype_string(FRAMES)
     schema = T.StructType([*media.schema.fields, T.StructField(frames_name, kind), T.StructField(samples_name, T.BinaryType())])
@@ -298,11 +313,11 @@ def with_frames(media: DataFrame, media_col: str = "media", frames_name: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for b in batches:
+        for b in sliced(batches):
             frames, samples = [], []
             for data in b.column(at).to_pylist():
                 try:
-                    parts = [described(f) for f in read_gif(data or b"")]
+                    parts = [described(f) for f in each_frame(data or b"")]
                 except ValueError:
                     frames.append(None), samples.append(None)
                     continue

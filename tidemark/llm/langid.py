@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.util import fresh, small_batches, strings
+from tidemark.llm.util import fresh, sliced, strings
 
 UNKNOWN = "und"
 #: Stands for any run of characters that aren't letters.
@@ -99,14 +99,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     ``most`` highest counts of a language (after the shuffle an n-gram's count
     is whole), and those few come to the driver.
     """
-    small_batches(labelled.sparkSession)
     known = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     share = min(1.0, sample_rows / max(1, labelled.where(F.col(lang_col).isNotNull()).count()))
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts, langs, found = strings(b.column(0)), b.column(1).to_pylist(), {}
             for text, lang in zip(texts, langs, strict=True):
                 found.setdefault(lang, []).append(ngrams(text))
@@ -139,14 +138,15 @@ def with_language(docs: DataFrame, profiles: Profiles, text_col: str = "text", l
     """All columns of ``docs``, the predicted language of the whole text and its score (0 to 1).
 
     A text that is null, or has no letter, gets ``und`` and score 0. Of
-    languages at the same distance the first by name is predicted.
+    languages at the same distance the first by name is predicted. Repeated rows
+    stay repeated, columns of these names are replaced, an empty table stays empty.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    docs = docs.drop(lang_name, score_name)
     sent, at = spark.sparkContext.broadcast(profiles), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [sent.value.predict(t) for t in strings(b.column(at))]
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, lang_name, score_name])

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemark.llm.util import small_batches, strings
+from tidemark.llm.util import sliced, strings
 
 # Notices by which works state their license, in their publishers' words.
 TEMPLATES = {
@@ -250,17 +250,18 @@ SCHEMA = "array<struct<license:string,coverage:double,matched:int,start:int,stop
 def with_licenses(docs: DataFrame, text_col: str = "text", name: str = "licenses", templates: dict[str, str] = TEMPLATES, least_coverage: float = 0.6) -> DataFrame:
     """All columns of ``docs`` and the licenses found in the whole text, an empty list where there is none.
 
-    Null and empty texts have none. A template appears once for each place.
+    Null and empty texts have none; repeated rows stay repeated; an empty table
+    stays empty; a column ``name`` is replaced. A template appears once for each place.
     The index, of bounded templates, goes to the tasks; documents aren't shuffled.
     """
-    small_batches(docs.sparkSession)
+    docs = docs.drop(name)
     at, kind = docs.columns.index(text_col), T._parse_datatype_string(SCHEMA)
     sent = docs.sparkSession.sparkContext.broadcast(Index(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for b in batches:
+        for b in sliced(batches):
             found = [scan(t, sent.value, least_coverage) for t in strings(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, to_arrow_type(kind))], [*b.schema.names, name])
 

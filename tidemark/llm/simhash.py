@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.util import fresh, small_batches, stored, strings
+from tidemark.llm.util import fresh, sliced, stored, strings
 
 SEED = 42
 BITS = 64
@@ -40,12 +40,12 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, name: str = "fp") -> DataFrame:
-    """All columns of ``docs`` and the fingerprint as a signed long; a null text counts as empty."""
-    small_batches(docs.sparkSession)
+    """All columns of ``docs`` and the fingerprint as a signed long; a null text counts as empty, a column ``name`` is replaced."""
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             fps = np.array([fingerprint(t, words) for t in strings(b.column(at))], "<u8").view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, name])
 
