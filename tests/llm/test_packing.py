@@ -10,13 +10,11 @@ from tokenizers import Tokenizer
 from tidemark.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", None, "Hello, world's   best\n\n text  ", "naïve Ünïcödé 漢字 🎉🏳️‍🌈 \x00\x7f", "<|endoftext|> as text", "x" * 3000, "word " * 5000, " \t ", "12345 6'll we've", "one two"]
+TEXTS = ["", None, "Hello, world's   best\n\n text  ", "naïve Ünïcödé 漢字 🎉🏳️‍🌈 \x00\x7f", "<|endoftext|> inside<|endoftext|><|endoftext|>  of \n\n<|endoftext|>\n x <|endoftext", "x" * 3000, "word " * 5000, " \t ", "12345 6'll we've", "one two"]
 
 
 def plain_ids(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 0]
 
 
 @pytest.mark.parametrize("size", [16, 2048])
@@ -49,6 +47,18 @@ def check_places(places, size):
     return len(held)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a" + " \n\t" * 200_000 + "b", "x" * 1_000_000, "é" * 200_000, ("one  two" + " " * 99_999) * 5, "<|endoftext|>" + " " * 150_000 + "<|endoftext|>"], ids=range(7))
+def test_very_long_runs(text):
+    assert packing.encoder(PATH)(text).tolist() == plain_ids(text)[:-1]
+
+
+def test_other_vocabularies():
+    """A file that is no byte-level BPE is run by its own library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for text in ("Hello <|endoftext|> World", "a  B\n"):
+        assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan(seed):
     rng = random.Random(seed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -16,34 +17,51 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from tidemark.llm.util import fresh, small_batches, stored, strings
+from tidemark.llm.util import fresh, sliced, stored, strings
 
 #: How byte-level vocabularies write their bytes: printable Latin-1 as itself, the others from U+0100 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+#: So many blanks in a row are more than the faster library's pattern can go back over.
+BLANKS = re.compile(r"\s{100000}")
+
+
 @cache
-def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ``tokenizer.json``, run by the faster of two libraries that give the same ids.
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text by a ``tokenizer.json``, as its own library gives them without added special tokens.
 
-    Its merges join in the order of their ids, which is what ranks mean; special
-    tokens in a text are ordinary text. A file of another kind is an error.
+    A special token that stands in a text gets its own id. A plain byte-level
+    BPE is run by the faster of two libraries that give the same ids, but for
+    texts with very long runs of blanks; its merges join in the order of their
+    ids, which is what ranks mean. Any other file is run by its own library.
     """
+    own = Tokenizer.from_file(path)
+    slow = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.int32)
+    if (fast := _byte_level(path)) is None:
+        return slow
+    return lambda text: slow(text) if len(text) >= 100_000 and BLANKS.search(text) else fast.encode_to_numpy(text, allowed_special="all").astype(np.int32)
+
+
+def _byte_level(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary for the faster library, if it is a plain byte-level BPE whose merges follow its ids."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    vocab, special = spec["model"]["vocab"], {t["content"] for t in spec["added_tokens"]}
-    split = spec["pre_tokenizer"]
-    if spec["model"]["type"] != "BPE" or split["type"] != "ByteLevel" or split.get("add_prefix_space") or spec.get("normalizer"):
-        raise ValueError(f"{path} is not a plain byte-level BPE")
+    vocab, added, split = spec["model"]["vocab"], spec["added_tokens"], spec["pre_tokenizer"] or {}
+    special = {t["content"]: t["id"] for t in added}
+    plain = all(t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    if spec["model"]["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or spec.get("normalizer") or not plain:
+        return None
     others = iter(range(256, 512))
     to_byte = {chr(b if b in _PLAIN else next(others)): b for b in range(256)}
     ranks = {bytes(to_byte[c] for c in token): i for token, i in vocab.items() if token not in special}
     joined = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
     if joined != sorted(joined):
-        raise ValueError(f"{path}: ids don't follow the order of merges")
+        return None
     words = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("byte-level", pat_str=words, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-level", pat_str=words, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
@@ -55,17 +73,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     text ends with ``end_id``; a null or empty one has that alone. All pieces
     but the first have ``max_tokens``.
     """
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType
     schema = T.StructType([T.StructField("id", kind), *(T.StructField(n, t) for n, t in (("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("part", T.IntegerType()), ("nth", T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, made = encoder(tokenizer).encode_to_numpy, TaskContext.get().partitionId(), np.zeros(max_tokens + 1, np.int64)
-        for b in batches:
+        encode, part, made = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(max_tokens + 1, np.int64)
+        for b in sliced(batches):
             row, piece, start, length, nth, values = [], [], [], [], [], []
             for i, text in enumerate(strings(b.column(1))):
-                ids = np.append(encode(text, disallowed_special=()).astype(np.int32), np.int32(end_id))
+                ids = np.append(encode(text), np.int32(end_id))
                 values.append(ids)
                 at = 0
                 for k in range(-(-len(ids) // max_tokens)):
@@ -81,6 +98,53 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+class Complements:
+    """Index from a sum to the single length, the pairs and the triples that make it, under counts that only fall.
+
+    A sum's pairs and triples are listed when it is first looked up, from the
+    lengths then left. As counts only fall, an entry whose lengths have run out
+    is dropped for good, so the lists are gone through once altogether.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def _pair(self, total: int, have: np.ndarray) -> tuple[int, ...]:
+        """Two lengths of sum ``total``, the smaller as small as can be."""
+        if total not in self.pairs:
+            low = np.arange(1, total // 2 + 1)
+            self.pairs[total] = low[(self.left[low] > 0) & (self.left[total - low] > 0)][::-1].tolist()
+        lows = self.pairs[total]
+        while lows and not (self.left[lows[-1]] and self.left[total - lows[-1]]):
+            lows.pop()
+        for low in reversed(lows):
+            if have[low] and have[total - low] and (2 * low != total or have[low] > 1):
+                return total - low, low
+        return ()
+
+    def exact(self, gap: int, have: np.ndarray) -> tuple[int, ...]:
+        """One to three lengths of sum ``gap`` that are there in ``have``, which is what is left but for those just chosen."""
+        if have[gap] > 0:
+            return (gap,)
+        if two := self._pair(gap, have):
+            return two
+        if gap not in self.triples:
+            self.triples[gap] = np.flatnonzero(self.left[:gap]).tolist()
+        longest = self.triples[gap]
+        while longest and not (self.left[longest[-1]] and self._pair(gap - longest[-1], self.left)):
+            longest.pop()
+        for a in reversed(longest):
+            if have[a]:
+                have[a] -= 1
+                two = self._pair(gap - a, have)
+                have[a] += 1
+                if two:
+                    return a, *two
+        return ()
+
+
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """How to pack so many pieces of each length: blocks ``(length, first, pieces, each, sequence, offset)``.
 
@@ -96,33 +160,12 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] = c
-    used, blocks, sequence = np.zeros(capacity + 1, np.int64), [], 0
-
-    def pair(gap: int, have: np.ndarray) -> tuple[int, ...]:
-        low = np.arange(1, gap // 2 + 1)
-        good = low[(have[low] > 0) & (have[gap - low] > 0)]
-        if len(good) and 2 * good[-1] == gap and have[gap // 2] < 2:
-            good = good[:-1]
-        return (int(gap - good[0]), int(good[0])) if len(good) else ()
-
-    def exact(gap: int, have: np.ndarray) -> tuple[int, ...]:
-        if have[gap] > 0:
-            return (gap,)
-        if two := pair(gap, have):
-            return two
-        for a in np.flatnonzero(have[:gap])[::-1]:
-            have[a] -= 1
-            two = pair(gap - int(a), have)
-            have[a] += 1
-            if two:
-                return (int(a), *two)
-        return ()
-
+    used, blocks, sequence, index = np.zeros(capacity + 1, np.int64), [], 0, Complements(left)
     while len(open_ := np.flatnonzero(left)):
         have, chosen = left.copy(), [int(open_[-1])]
         have[chosen[0]] -= 1
         gap = capacity - chosen[0]
-        while gap > 0 and not (fill := exact(gap, have)):
+        while gap > 0 and not (fill := index.exact(gap, have)):
             fits = np.flatnonzero(have[: gap + 1])
             if not len(fits):
                 break
