@@ -1,6 +1,10 @@
 import hashlib
 import random
 import re
+import time
+from itertools import accumulate
+
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii
 
@@ -82,6 +86,38 @@ def test_query_digest(spark, tmp_path):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in spans) for k in BASE]
 
 
+def test_words_nearby_decide(spark):
+    iban, number = "GB82 WEST 1234 5698 7654 32", "123-45-6789"
+    rows = [f"pay {iban} now", f"sample {iban}", f"bank account {iban} (test)", f"ssn {number}", f"ssn {number} of order 5", f"see {number}", "version 1.2.3.4", "server 1.2.3.4"]
+    found = pii.with_spans(frame(spark, rows)).select("doc_id", pii.listed("spans", pii.BASE + pii.MORE).alias("s"), pii.scored("spans", pii.BASE + pii.MORE).alias("n")).collect()
+    got = {r.doc_id: [(s.split(":")[0], int(n)) for s, n in zip(r.s.split(","), r.n.split(","), strict=True) if s] for r in found}
+    assert got == {0: [("iban", 70)], 1: [], 2: [("iban", 50)], 3: [("national_id", 70)], 4: [], 5: [], 6: [("ip", 30)], 7: [("ip", 90)]}
+
+
+def test_fifty_thousand_matches_in_a_text(spark):
+    """Time in proportion to the matches: 50,000 addresses took minutes when arrays grew one by one."""
+    text = "é " + "ab@c.de, " * 50_000 + "x" * 3000
+    docs = frame(spark, [text])
+    start = time.monotonic()
+    (row,) = pii.with_spans(docs).select(pii.listed("spans", pii.BASE).alias("s")).collect()
+    assert row.s == ",".join(f"email:{2 + 9 * i}:{9 + 9 * i}" for i in range(50_000))
+    (row,) = pii.redact(docs).collect()
+    assert row.text == text.replace("ab@c.de", "[EMAIL]")
+    assert time.monotonic() - start < 60
+
+
+def test_running(spark):
+    docs = spark.createDataFrame([([i % 7 for i in range(n)],) for n in (0, 1, 63, 64, 65, 4096, 4097, 5000)], "a array<int>")
+    for r in docs.select("a", pii.running(F.col("a"), lambda a, b: a + b).alias("sum"), pii.running(F.col("a"), F.greatest).alias("max")).collect():
+        assert r["sum"] == list(accumulate(r.a)) and r["max"] == list(accumulate(r.a, max))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([("a@b.cc", 1, 2, 3), ("none", 4, 5, 6)], "text string, spans int, reach int, pieces int")
+    assert pii.redact(docs).collect() == [("[EMAIL]", 1, 2, 3), ("none", 4, 5, 6)]
+    assert pii.with_spans(docs).columns == ["text", "reach", "pieces", "spans"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.with_spans(docs).collect() == [] and pii.redact(docs).collect() == []
