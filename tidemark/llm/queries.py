@@ -45,26 +45,28 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PII_SQL = r"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-    kinds(place, kind, pattern) AS (VALUES
-        (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
-        (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
-        (3, 'card', '[0-9]([ -]?[0-9])+'),
-        (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]'),
-        (5, 'iban', '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b'),
-        (6, 'national_id', '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')),
+    kinds(place, kind, pattern, score, context, lift, against, fall) AS (VALUES
+        (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', 90, '\b(?:mail|email|contact|write)\b', 10, '\b(?:example|sample|test)\b', 30),
+        (2, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', 70, '\b(?:ip|address|host|server)\b', 20, '\b(?:version|release|build)\b', 40),
+        (3, 'card', '[0-9]([ -]?[0-9])+', 80, '\b(?:card|visa|credit|debit|payment)\b', 20, '\b(?:example|sample|test)\b', 40),
+        (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]', 70, '\b(?:phone|call|tel|mobile|fax)\b', 20, '', 0),
+        (5, 'iban', '\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b', 70, '\b(?:iban|bank|account|transfer)\b', 20, '\b(?:example|sample|dummy|test)\b', 40),
+        (6, 'national_id', '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', 30, '\b(?:ssn|social security|national id|tax id)\b', 40, '\b(?:part|serial|order|invoice|example|sample)\b', 30)),
     found AS (
-        SELECT doc_id, place, kind, regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS gaps FROM d, kinds),
+        SELECT doc_id, place, kind, score, context, lift, against, fall, regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS gaps FROM d, kinds),
     one AS (
-        SELECT doc_id, place, kind, m, gaps, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
+        SELECT doc_id, place, kind, score, context, lift, against, fall, m, gaps, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
     spot AS (
-        SELECT doc_id, place, kind, m[i] AS match, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
+        SELECT doc_id, place, kind, score, context, lift, against, fall, m[i] AS match, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits,
                lower(right(gaps[i], 40) || ' ' || left(gaps[i + 1], 40)) AS around,
                upper(regexp_replace(m[i], '[^A-Za-z0-9]', '', 'g')) AS plain,
                CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
         FROM one),
+    rated AS (
+        SELECT *, score + CASE WHEN regexp_matches(around, context) THEN lift ELSE 0 END - CASE WHEN regexp_matches(around, against) THEN fall ELSE 0 END AS rating FROM spot),
     valid AS (
-        SELECT doc_id, place, kind, start, start + length(match) AS stop FROM spot
-        WHERE CASE kind
+        SELECT doc_id, place, kind, start, start + length(match) AS stop, rating FROM rated
+        WHERE (place <= 4 OR rating >= 50) AND CASE kind
             WHEN 'email' THEN true
             WHEN 'ip' THEN len(list_filter(string_split(match, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0
             WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j:
@@ -73,16 +75,16 @@ PII_SQL = r"""
             WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
             WHEN 'iban' THEN CAST(list_aggregate(list_transform(string_split(plain[5:] || plain[1:4], ''), lambda c:
                 CASE WHEN c >= 'A' THEN CAST(ord(c) - 55 AS VARCHAR) ELSE c END), 'string_agg', '') AS HUGEINT) % 97 = 1
-            ELSE NOT regexp_matches(match, '^(?:000|666|9)') AND NOT regexp_matches(match, '-00-|-0000$')
-                 AND regexp_matches(around, '\b(?:ssn|social security|national id|tax id)\b') END),
+            ELSE NOT regexp_matches(match, '^(?:000|666|9)') AND NOT regexp_matches(match, '-00-|-0000$') END),
     listed AS (
         SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
                count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
                string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) FILTER (WHERE place <= 4) AS base,
-               string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) AS spans
+               string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY place, start) AS spans,
+               string_agg(rating, ',' ORDER BY place, start) AS scores
         FROM valid GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
     FROM d LEFT JOIN listed l ON d.doc_id IS NOT DISTINCT FROM l.doc_id
 """
 
@@ -92,7 +94,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = (F.size(f"spans.{k.name}").cast("long").alias(f"n_{k.name}") for k in pii.BASE)
     base = F.sha2(pii.listed("spans", pii.BASE), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, pii.listed("spans", pii.BASE + pii.MORE).alias("spans"))
+    every = pii.BASE + pii.MORE
+    return found.select("doc_id", *counts, base, pii.listed("spans", every).alias("spans"), pii.scored("spans", every).alias("scores"))
 
 
 @query("op1_language")
@@ -160,7 +163,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 64 << 10
 
 
 def sharding_sql(limit: int) -> str:

@@ -81,11 +81,10 @@ def shards(docs: DataFrame, limit: int = 64 << 20, id_col: str = "doc_id", text_
     """
     sizes = stored(docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes")).withColumn("h", key_hash(F.col("id"))), "sizes")
     buckets = directory(sizes, limit)
-    least = buckets.agg(F.coalesce(F.min("depth"), F.lit(0))).first()[0]
-    # a bucket is looked up by the bits that all of them have, and told apart by its own
-    looked_up = buckets.select("depth", "prefix", "whole", F.col("bytes").alias("shard_bytes"), _right(F.col("prefix"), F.col("depth") - least).alias("root"))
-    mine = F.col("prefix") == _right(F.col("h"), F.lit(BITS) - F.col("depth"))
-    found = sizes.withColumn("root", prefix(F.col("h"), F.lit(least))).join(_small(looked_up).withColumnRenamed("root", "r"), (F.col("root") == F.col("r")) & mine)
+    # a row asks at each depth that occurs, a number bounded by the bits of a hash, and one bucket answers
+    depths = [r.depth for r in buckets.select("depth").distinct().collect()]
+    asked = sizes.withColumn("depth", F.explode(F.array(*map(F.lit, depths)).cast("array<int>"))).withColumn("prefix", prefix(F.col("h"), F.col("depth")))
+    found = asked.join(_small(buckets.withColumnRenamed("bytes", "shard_bytes")), ["depth", "prefix"])
     out = found.where("whole").select("id", "bytes", "depth", "prefix", F.lit(0).cast("long").alias("part"), "shard_bytes")
     if buckets.where("not whole").limit(1).count():
         out = out.union(_cut(found.where("not whole"), limit))
