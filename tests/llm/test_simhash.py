@@ -3,6 +3,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 
@@ -87,3 +88,59 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_groups(docs).collect() == []
     assert simhash.simhash_dedup(docs).collect() == []
+
+
+def test_links_at_distance_one(spark):
+    """Two bits apart must not count, and a chain of single bits must."""
+    fps = [0b1100, 0b1101, 0b0100, 0b1001, 1 << 40, (1 << 40) + 3]
+    links = {(r.a, r.b) for r in simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long"), 1).collect()}
+    want = {(a, b) for a in fps for b in fps if a != b and (a ^ b).bit_count() == 1}
+    assert links and links <= want and {frozenset(x) for x in links} == {frozenset(x) for x in want}
+
+
+def test_manhattan(spark):
+    rng = random.Random(2)
+    rows = [tuple(rng.choice([rng.getrandbits(64), 0, (1 << 64) - 1]) - (1 << 63) for _ in "xy") for _ in range(300)]
+    counts = lambda v: [((v % (1 << 64)) >> 4 * j & 15).bit_count() for j in range(16)]
+    for r in spark.createDataFrame(rows, "x long, y long").select("x", "y", simhash.manhattan(simhash.popcounts(F.col("x")), simhash.popcounts(F.col("y"))).alias("m")).collect():
+        assert r.m == sum(abs(a - b) for a, b in zip(counts(r.x), counts(r.y), strict=True)) <= (r.x ^ r.y).bit_count() + 64
+
+
+def edited(words, edits, rng):
+    own = list(words)
+    for at in rng.sample(range(len(own)), edits):
+        own[at] = f"x{rng.randrange(10**6)}"
+    return " ".join(own)
+
+
+def test_near_dedup_against_all_pairs(spark):
+    """Near copies of all degrees around the threshold: links only where shingles say so, and nearly all of these."""
+    from tests_llm_plain import plain_near
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(150):
+        base = rng.choices([f"w{i}" for i in range(900)], k=rng.choice([40, 150, 400]))
+        rows += [" ".join(base)] + [edited(base, max(1, round(len(base) * share)), rng) for share in rng.choices([0.0, 0.005, 0.01, 0.015, 0.02, 0.05], k=3)]
+    rows += ["", None, " \n", "one two", "One  TWO", "one two three"] + ["hot copy of a text that many have"] * 200
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(rows)], "doc_id long, text string, rid int, s0 string")
+    out = simhash.near_dedup(docs)
+    assert out.columns == docs.columns
+    kept = [r.doc_id for r in out.collect()]
+    want = plain_near(rows, range(len(rows)))
+    groups = {want[i] for i in kept}
+    assert len(kept) == len(set(kept)) and groups == set(want.values())  # no group is lost
+    assert set(want.values()) <= set(kept)
+    assert len(kept) - len(groups) <= 0.05 * (len(rows) - 200 - len(groups))  # and nearly all copies go
+    assert simhash.near_dedup(docs.limit(0)).collect() == []
+
+
+def test_near_recall_on_documents(spark):
+    """Against an inverted index over all shingles of the documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    from tests_llm_plain import plain_near
+
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    want = plain_near([r.text for r in rows], [r.doc_id for r in rows])
+    kept = {r.doc_id for r in simhash.near_dedup(docs).collect()}
+    assert set(want.values()) <= kept and len(kept) - len(set(want.values())) <= 2

@@ -33,6 +33,25 @@ def plain_redact(text):
     return out + text[at:]
 
 
+def plain_near(texts, ids, words=5, similarity=0.8):
+    """The smallest id of each text's group, comparing all pairs of shingle sets."""
+    found = [(t or "").encode().lower().split() for t in texts]
+    sets = [frozenset(tuple(f[i : i + words]) for i in range(max(1, len(f) - words + 1))) for f in found]
+    group = {i: i for i in ids}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((top(ids[a]), top(ids[b])))
+                group[y] = x
+    return {i: top(i) for i in ids}
+
+
 def topic(text):
     if " | " in text:
         return "table"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.util import fresh, sliced, stored, strings
+from tidemark.llm.util import discard, fresh, sliced, stored, strings
 
 SEED = 42
 BITS = 64
@@ -20,6 +22,38 @@ BITS = 64
 SEGMENT = 4
 
 
+@dataclass(frozen=True)
+class Near:
+    """What counts as near in ``near_dedup``, and how candidates are found.
+
+    Two texts are near if their sets of shingles of ``words`` words have a
+    Jaccard similarity of ``similarity`` or more. Candidates share some key: a
+    fixed choice of bits of a long fingerprint (of shingles of two words, which
+    an edit changes less), ``spare`` more than it takes to number the texts,
+    so that unlike texts seldom share one. ``tries`` is how often a near pair, ``apart`` of whose bits differ, is
+    expected to share a key. Candidates over ``radius`` bits apart are left out.
+    """
+
+    words: int = 5
+    similarity: float = 0.8
+    parts: int = 4
+    spare: int = 8
+    apart: float = 0.085
+    tries: float = 5.0
+    radius: int = 48
+
+    def keys(self, texts: int) -> np.ndarray:
+        """The bits that make each key: one row for each."""
+        bits = min(60, ceil(log2(max(texts, 2))) + self.spare)
+        rng = np.random.default_rng(SEED)
+        return np.stack([rng.choice(BITS * self.parts, bits, replace=False) for _ in range(ceil(self.tries / (1 - self.apart) ** bits))])
+
+
+def joined_shingles(found: list[bytes], words: int) -> Iterable[bytes]:
+    """A text's shingles, repeats included; the whole sequence where it is shorter than one."""
+    return [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
+
+
 def fingerprint(text: str, words: int = 3) -> int:
     """64-bit SimHash of a text's word shingles, unsigned; zero without words.
 
@@ -30,8 +64,7 @@ def fingerprint(text: str, words: int = 3) -> int:
     found = text.encode("utf-8").lower().split()
     if not found:
         return 0
-    shingles = [b" ".join(found)] if len(found) < words else map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), "<u8")
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined_shingles(found, words)), "<u8")
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -92,6 +125,9 @@ def linked(fps: DataFrame, max_distance: int = 2) -> DataFrame:
     flips = F.filter(masks, lambda m: (F.col("fp").bitwiseAND(m) == 0) == (F.col("step") > 0))
     patterns = F.when(F.col("step") == 0, F.array("fp")).otherwise(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m)))
     exact = stored(near.select("fp", F.explode(patterns).alias("pattern")), "patterns")
+    if max_distance == 1:  # one bit away is another fingerprint itself
+        there = fps.select(F.col("fp").alias("b"))
+        return exact.join(there, exact["pattern"] == there["b"]).select(F.col("fp").alias("a"), "b").where("a <> b").distinct()
     least = stored(exact.groupBy("pattern").agg(F.min("fp").alias("m"), F.max("fp").alias("hi")).where("m <> hi").select("pattern", "m"), "least")
     links = exact.join(least, "pattern").select(F.col("fp").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
@@ -137,3 +173,134 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = components(marked, "key", max_distance).groupBy("component_id.rid").agg(F.lit(1).alias("one")).select(F.col("rid").alias(rid))
     # whatever its size, the table of kept rows is dealt by a key of even spread, and never broadcast
     return whole.join(stored(kept, "kept").hint("shuffle_hash"), rid, "left_semi").select(*docs.columns)
+
+
+def long_fingerprint(found: list[bytes], parts: int, words: int = 2) -> np.ndarray:
+    """SimHash of a text's shingles in ``parts`` times 64 bits, the hash of a shingle being mixed anew for each part."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined_shingles(found, words)), "<u8")
+    out = np.zeros(parts, "<u8")
+    for i in range(parts):
+        with np.errstate(over="ignore"):
+            h = hashes + np.uint64(i + 1) * np.uint64(0x9E3779B97F4A7C15)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+            h ^= h >> np.uint64(31)
+        ones = np.zeros(BITS, np.int64)
+        for at in range(0, len(h), 1 << 14):
+            ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def shingle_set(found: list[bytes], words: int) -> np.ndarray:
+    """32-bit hashes of a text's distinct shingles."""
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(s, SEED) for s in joined_shingles(found, words)), "<u4")).view(np.int32)
+
+
+#: A table of so many row numbers at most is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _checked(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if counted few, or else to be dealt out: row numbers have an even spread."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
+
+
+def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, near: Near) -> DataFrame:
+    """Links (``a``, ``b``) of classes ``c`` whose texts are near.
+
+    The members of a key are compared with its smallest and its largest, and
+    not with each other. The distance of popcount vectors, then that of the
+    fingerprints, rules out candidates; shingles decide on the others.
+    """
+    chosen = near.keys(classes.count())
+    signs = [f"s{i}" for i in range(near.parts)]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 1024):
+            words = np.stack([c.to_numpy() for c in b.columns[1:]], axis=1).astype("<i8")
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+            for i, own in enumerate(chosen):
+                value = np.packbits(bits[:, own], axis=1)
+                value = np.ascontiguousarray(np.pad(value, ((0, 0), (0, 8 - value.shape[1])))).view("<u8")[:, 0]
+                with np.errstate(over="ignore"):
+                    key = (value ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], names=["key", "c"])
+
+    keys = classes.select("c", *signs).mapInArrow(keyed, "key long, c long")
+    ends = stored(keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi"), "ends")
+    pairs = keys.join(ends, "key").select("c", F.explode(F.array("lo", "hi")).alias("b")).where("c <> b")
+    pairs = stored(pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct(), "pairs")
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("c").alias(side), F.struct(*signs, *(popcounts(F.col(s)).alias(f"p_{s}") for s in signs)).alias(f"of_{side}")), side)
+    at_least = sum(manhattan(F.col(f"of_a.p_{s}"), F.col(f"of_b.p_{s}")) for s in signs)
+    exact = sum(F.bit_count(F.col(f"of_a.{s}").bitwiseXOR(F.col(f"of_b.{s}"))) for s in signs)
+    close = stored(pairs.where(at_least <= near.radius).where(exact <= near.radius).select("a", "b"), "close")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = [shingle_set(t.encode("utf-8").lower().split(), near.words) for t in strings(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["c", "shingles"])
+
+    wanted = stored(close.select(F.col("a").alias(rid)).union(close.select("b")).distinct(), "wanted")
+    texts = whole.select(rid, text_col).join(_checked(wanted), rid, "left_semi")
+    sets = stored(texts.mapInArrow(shingled, "c long, shingles array<int>"), "shingles")
+    for side in ("b", "a"):
+        close = close.join(sets.select(F.col("c").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    links = stored(close.where(shared >= near.similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"), "near")
+    discard(ends, wanted, sets)
+    return links
+
+
+def manhattan(x: Column, y: Column) -> Column:
+    """The Manhattan distance of two embeddings, which is never more than the number of bits that differ."""
+    each = lambda n: F.lit(int.from_bytes([n] * 8))
+
+    def half(c: Column, j: int) -> Column:
+        """Every other segment's count, in a byte each."""
+        return F.shiftrightunsigned(c, SEGMENT * j).bitwiseAND(each(15))
+
+    total = F.lit(0).cast("long")
+    for j in (0, 1):
+        v = half(x, j) + each(8) - half(y, j)  # the difference, and 8
+        more = F.shiftrightunsigned(v, 3).bitwiseAND(each(1))
+        less = each(1) - more
+        total = total + v.bitwiseAND(more * 7) + v.bitwiseXOR(each(7)).bitwiseAND(less * 7) + less
+    return total % 255  # the sum of its bytes
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near texts: the one of smallest id (null ids last).
+
+    Near texts share 0.8 of their five-word shingles (``Near``); groups are what such
+    links connect. Texts of the same words, but for case of A-Z and ASCII white
+    space, are one class and meet as such, null, empty and blank ones in
+    one class; only classes are compared. Of rows that tie, repeated rows for instance, exactly one
+    stays. All columns and their values stay as they are; an empty table stays empty.
+    """
+    near = near or Near()
+    rid, hi, lo = fresh(docs, "rid"), fresh(docs, "hi"), fresh(docs, "lo")
+    signs = [fresh(docs, f"s{i}") for i in range(near.parts)]
+    at = docs.columns.index(text_col)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            words = [t.encode("utf-8").lower().split() for t in strings(b.column(at))]
+            same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), np.int64).reshape(-1, 2)
+            own = np.stack([long_fingerprint(w, near.parts) for w in words]).view(np.int64)
+            more = [*same.T, *own.T]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(m) for m in more)], [*b.schema.names, hi, lo, *signs])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in (hi, lo, *signs))])
+    whole = stored(docs.mapInArrow(marked, schema).withColumn(rid, F.monotonically_increasing_id()), "marked")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("rid"))
+    first = whole.groupBy(hi, lo).agg(F.min(key).alias("key"), *(F.first(s).alias(f"s{i}") for i, s in enumerate(signs)))
+    classes = stored(first.select(F.col("key.rid").alias("c"), "*").drop(hi, lo), "classes")
+    links = near_links(whole, classes, text_col, rid, near)
+    joined = stored(connected_components(links), "joined")
+    best = joined.join(classes.select(F.col("c").alias("node"), "key"), "node").groupBy("component").agg(F.min("key").alias("key"))
+    stays = stored(best.select(F.col("key.rid").alias(rid)), "stays")
+    kept = classes.select(F.col("c").alias(rid)).join(joined.select(F.col("node").alias(rid)), rid, "left_anti").union(stays)
+    gone = stored(whole.select(rid).join(kept, rid, "left_anti"), "gone")
+    return whole.join(_checked(gone), rid, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
