@@ -72,7 +72,7 @@ def frame_names(spark, sf_dir) -> DataFrame:
 @query(
     "text_functions",
     """SELECT conv_id, turn, replace(replace(replace(replace(text, '\\', '\\\\'), chr(13), '\\r'), chr(10), '\\n'), '''', '\\''') AS quoted,
-              'data:text/plain;base64,' || base64(encode(substr(text, 1, 30))) AS url, 'Log: ' || substr(text, 1, 9) || '.' AS filled,
+              'data:text/plain;base64,' || base64(encode(text)) AS url, 'Log: ' || text || '.' AS filled,
               '[' || turn || ']' AS salvaged FROM conversations""",
 )
 def text_functions(spark, sf_dir) -> DataFrame:

@@ -192,7 +192,7 @@ def image_coords(spark, sf_dir) -> DataFrame:
 
 
 ROWS_SQL = EVENTS_SQL + "," + CAPTIONS_SQL + """,
-    rn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1 AS i FROM ev WHERE event_id % 5 = 0),
+    rn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1 AS i FROM ev),
     sz AS (SELECT session_id, count(*) AS n FROM rn GROUP BY 1),
     ma AS (SELECT c.*, n, CAST(greatest(0, least(start_seconds, n - 1)) AS INTEGER) AS start_index FROM cap c JOIN sz USING (session_id)),
     mb AS (SELECT *, CAST(greatest(start_index, least(end_seconds, n - 1)) AS INTEGER) AS end_index FROM ma)"""

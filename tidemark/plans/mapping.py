@@ -67,7 +67,7 @@ FRAMES_SQL = EVENTS_SQL + """,
 CAPTIONS_SQL = """
     cap AS (
         SELECT conv_id AS session_id, turn, CAST(turn * 2 AS INTEGER) AS start_seconds,
-               CAST(turn * 2 + length(text) % 4 AS INTEGER) AS end_seconds, substr(text, 1, 12) AS caption
+               CAST(turn * 2 + length(text) % 4 AS INTEGER) AS end_seconds, text AS caption
         FROM conversations)"""
 BURSTS_SQL = EVENTS_SQL + f""",
     gaps AS (
