@@ -30,14 +30,20 @@ INTERACTIVE = ("AXButton", "AXTextField", "AXTextArea", "AXCheckBox", "AXRadioBu
 
 
 def _told(element: Column, under: str = "$") -> Column:
-    """Whether a telling attribute holds more than blanks (a zero or false value tells nothing)."""
+    """Whether a telling attribute holds more than blanks (a zero or false value tells nothing, but a text of it does)."""
     out = F.lit(False)
     for name in TELLING:
-        value = F.get_json_object(element, f"{under}.{name}")
-        out = out | (F.coalesce(F.trim(value), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}") == False)  # noqa: E712
+        out = out | _says(F.try_variant_get(F.try_parse_json(element), f"{under}.{name}", "variant"), r"(?U)\S")
     return out
 
 
+def _says(value: Column, filled: str) -> Column:
+    """Whether a JSON value is neither missing, null, zero, false nor empty; a text must hold ``filled``, a pattern."""
+    shown = F.try_variant_get(value, "$", "string")
+    a_text = F.schema_of_variant(value) == "STRING"
+    return F.coalesce(F.when(a_text, shown.rlike(filled)).otherwise(~shown.isin("false", "0", "0.0", "-0.0", "[]", "{}", "null")), F.lit(False))
+
+
 def useful(element: Column) -> Column:
     """Whether an element's JSON says something: its own telling attributes, else its role, else its parent's attributes."""
     role = F.coalesce(F.get_json_object(element, "$.AXRole"), F.lit(""))
@@ -46,12 +52,12 @@ def useful(element: Column) -> Column:
 
 def projected(element: Column) -> Column:
     """An element's JSON with the universal attributes, its role's own, and its parent's role and title; null if none has a value."""
-    full = F.from_json(element, "map<string,string>")
+    values = lambda c: F.from_json(c, "map<string,variant>")
+    said = lambda m: F.transform_values(F.map_filter(m, lambda k, v: _says(v, "(?s).")), lambda k, v: F.try_variant_get(v, "$", "string"))
     own = F.create_map(*chain.from_iterable((F.lit(r), F.array(*map(F.lit, names))) for r, names in OF_ROLE.items()))
     wanted = F.concat(F.array(*map(F.lit, UNIVERSAL)), F.coalesce(F.try_element_at(own, F.get_json_object(element, "$.AXRole")), F.array().cast("array<string>")))
-    has = lambda v: ~F.coalesce(v, F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
-    kept = F.map_filter(full, lambda k, v: F.array_contains(wanted, k) & has(v))
-    parent = F.map_filter(F.from_json(F.get_json_object(element, "$._parent"), "map<string,string>"), lambda k, v: k.isin("AXRole", "AXTitle") & has(v))
+    kept = F.map_filter(said(values(element)), lambda k, v: F.array_contains(wanted, k))
+    parent = F.map_filter(said(values(F.get_json_object(element, "$._parent"))), lambda k, v: k.isin("AXRole", "AXTitle"))
     parent = F.when(F.size(parent) > 0, F.create_map(F.lit("_parent"), F.to_json(parent)))
     both = F.map_concat(kept, F.coalesce(parent, F.create_map().cast("map<string,string>")))
     return F.when(F.size(both) > 0, F.to_json(both))

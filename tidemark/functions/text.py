@@ -39,6 +39,14 @@ def is_key(event_type: Column) -> Column:
     return event_type.isin("key_press", "key_release")
 
 
+def is_scroll(event_type: Column) -> Column:
+    return event_type == "mouse_scroll"
+
+
+def is_move(event_type: Column) -> Column:
+    return event_type == "mouse_move"
+
+
 def button_name(button: Column) -> Column:
     return F.regexp_replace(button, r"^Button\.", "")
 
@@ -85,10 +93,10 @@ def actions(prompt: Column) -> Column:
 
 
 def salvaged_json(text: Column) -> Column:
-    """JSON text from a model's answer: all of it, else its longest part in braces or brackets, else null."""
+    """JSON text from a model's answer: all of it, else its longest part in braces or brackets, else the answer as it is."""
     part = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
     valid = lambda c: F.try_parse_json(c).isNotNull()
-    return F.when(valid(text), text).when((part != "") & valid(part), part)
+    return F.when(valid(text), text).when((part != "") & valid(part), part).otherwise(text)
 
 
 def sql_quoted(text: Column) -> Column:

@@ -134,3 +134,8 @@ def duration_text(seconds: int) -> str:
         if seconds >= size and seconds % size == 0:
             return f"{seconds // size}{unit}"
     return f"{seconds // HOUR}hr"
+
+
+def num_chunks(seconds: Column, length: int) -> Column:
+    """How many chunks of ``length`` seconds a duration takes."""
+    return F.ceil(seconds / F.lit(float(length))).cast("bigint")

@@ -62,34 +62,41 @@ class OpenBurst:
 def folded(bursts: DataFrame, totals: dict[str, int], session: str = "session_id", category: str = "category", ts: str = "ts", tie: str = "event_id", monitor: str = "monitor_index") -> DataFrame:
     """All boundaries of bursts: ``session``, ``category``, ``burst_no``, ``first_ts``, ``first_event``, ``request_state``, ``reason``, ``ts``, ``monitor_index``, ``event_id``.
 
-    Where a burst splits depends on the split before, so its rows are folded in
-    order. Bursts are dealt over the tasks by session, category and number,
-    sorted there by Spark, and pass through batch by batch: a task holds what
-    is open of one burst only.
+    Starts, ends and changes of monitor come from each event's neighbours, in
+    one window. Only bursts longer than their total can split, and where they do
+    depends on the split before: their rows alone are folded in order, dealt over
+    the tasks by session, category and number and sorted there by Spark; a
+    task holds what is open of one burst.
     """
     keys = [session, category, "burst_no"]
     rows = bursts.select(*keys, F.col(ts).alias("ts"), F.col(monitor).alias("monitor_index"), F.col(tie).alias("event_id"))
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
+    w = Window.partitionBy(*keys).orderBy("ts", "event_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"first_ts": F.first("ts").over(w), "first_event": F.first("event_id").over(w), "_last": F.last("ts").over(whole), "_before": F.lag(F.struct("monitor_index")).over(w), "_more": F.lead(F.lit(True)).over(w)})
+    said = lambda state, reason: F.struct(F.lit(state).alias("request_state"), F.lit(reason).alias("reason"))
+    switched = F.col("_before").isNotNull() & ~F.col("_before.monitor_index").eqNullSafe(F.col("monitor_index"))
+    marks = F.array_compact(F.array(F.when(F.col("_before").isNull(), said(START, STALE)), F.when(switched, said(MID, SWITCH)), F.when(F.col("_more").isNull(), said(END, STALE))))
     columns = [*keys, "first_ts", "first_event", "request_state", "reason", "ts", "monitor_index", "event_id"]
+    plain = rows.withColumn("_mark", F.explode(marks)).select("*", "_mark.*").select(*columns)
+
+    most = F.element_at(F.create_map(*(F.lit(x) for pair in totals.items() for x in pair)), F.col(category))
+    long = rows.where(F.col("_last") - F.col("first_ts") > most).select(*keys, "first_ts", "first_event", "ts", "monitor_index", "event_id")
+    dealt = long.repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, first, last, burst = None, None, None, None
+        key, burst = None, None
         for b in batches:
             out = []
             for row in b.itertuples(index=False, name=None):
                 if row[:3] != key:
-                    if key is not None:
-                        out.append((*key, *first, END, STALE, *last))
-                    key, first, burst = row[:3], (row[3], row[5]), OpenBurst(totals[row[1]])
-                    out.append((*key, *first, START, STALE, *row[3:]))
-                if found := burst.push(*row[3:]):
-                    out.append((*key, *first, MID, *found))
-                last = row[3:]
+                    key, burst = row[:3], OpenBurst(totals[row[1]])
+                found = burst.push(*row[5:])
+                if found and found[0] == SPLIT:
+                    out.append((*row[:5], MID, *found))
             yield pd.DataFrame(out, columns=columns)
-        if key is not None:
-            yield pd.DataFrame([(*key, *first, END, STALE, *last)], columns=columns)
 
-    return dealt.mapInPandas(fold, f"{session} {dict(rows.dtypes)[session]}, {category} string, burst_no bigint, first_ts bigint, first_event bigint, request_state string, reason string, ts bigint, monitor_index int, event_id bigint")
+    splits = dealt.mapInPandas(fold, f"{session} {dict(rows.dtypes)[session]}, {category} string, burst_no bigint, first_ts bigint, first_event bigint, request_state string, reason string, ts bigint, monitor_index int, event_id bigint")
+    return plain.unionByName(splits)
 
 
 def middles(bursts: DataFrame, totals: dict[str, int], **columns: str) -> DataFrame:
@@ -98,14 +105,13 @@ def middles(bursts: DataFrame, totals: dict[str, int], **columns: str) -> DataFr
 
 
 def boundaries(events: DataFrame, gap: Column | int, totals: dict[str, int], part: int | None = None) -> DataFrame:
-    """Starts, splits and ends of all bursts: ``session_id``, ``category``, ``burst_id``, ``request_state``, ``reason``, ``ts``, ``event_id``.
+    """Starts, splits and ends of all bursts: ``session_id``, ``category``, ``burst_id``, ``request_state``, ``reason``, ``ts``, ``event_id``, ``monitor_index``.
 
-    One pass over the events: numbered into bursts, folded, and the few
-    boundaries then ranked by their burst's start for its id.
+    The few boundaries are ranked by their burst's start for its id.
     """
     rows = folded(with_bursts(events, gap, part=part), totals)
     place = F.dense_rank().over(Window.partitionBy("session_id").orderBy("first_ts", "first_event"))
-    return rows.select("session_id", "category", place.cast("bigint").alias("burst_id"), "request_state", "reason", "ts", "event_id")
+    return rows.select("session_id", "category", place.cast("bigint").alias("burst_id"), "request_state", "reason", "ts", "event_id", "monitor_index")
 
 
 def throttled(events: DataFrame, every_us: int, always: Column, by: list[str], ts: str = "ts", tie: str = "event_id") -> DataFrame:

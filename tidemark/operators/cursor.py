@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from tidemark.functions.geometry import inside
 
 
-def movements(events: DataFrame, by: list[str], order: list[str], monitor: str = "frame_monitor") -> DataFrame:
-    """Moves from one cursor position to the next where they differ and both lie on the frame's monitor: ``by``, ``start``, ``end``."""
+def movements(events: DataFrame, by: list[str], order: list[str], monitor: str = "frame_monitor", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Moves from one cursor position to the next where they differ and both lie on the frame's monitor: ``by``, ``start``, ``end``, and the columns ``keep`` of the event moved to."""
     known = events.where(F.size("cursor_position") >= 2)
     before = F.lag("cursor_position").over(Window.partitionBy(*by).orderBy(*order))
     on = lambda p: inside(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.col(monitor))
     rows = known.withColumn("start", before).withColumn("end", F.col("cursor_position"))
-    return rows.where((F.col("start") != F.col("end")) & on(F.col("start")) & on(F.col("end"))).select(*by, "start", "end")
+    return rows.where((F.col("start") != F.col("end")) & on(F.col("start")) & on(F.col("end"))).select(*by, "start", "end", *keep)
 
 
 def _on(position: list, monitor: dict) -> bool:
@@ -26,13 +26,14 @@ def _on(position: list, monitor: dict) -> bool:
 
 
 def leaving(events: list[dict], monitor: dict | None) -> list[dict]:
-    """The events after the first that are off a monitor, up to one on a third monitor."""
+    """The events after the first that are off a monitor, up to one on a third monitor; unknown monitors count as none until one is known."""
     placed = [e for e in events if e["cursor_position"] is not None and len(e["cursor_position"]) >= 2] if monitor else []
-    out: list[dict] = []
+    out, other = [], None
     for e in placed[1:]:
         if not _on(e["cursor_position"], monitor):
-            if out and e["monitor"] != out[0]["monitor"]:
+            if other and e["monitor"] != other:
                 break
+            other = other or e["monitor"]
             out.append(e)
     return out
 

@@ -40,3 +40,10 @@ def overwritten(rows: DataFrame, changes: DataFrame, by: list[str], column: str)
     """``rows`` with ``column`` replaced where ``changes`` has a row of the same ``by``."""
     new = changes.select(*by, F.col(column).alias("_new"))
     return rows.join(new, by, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def noise_totals(rows: DataFrame, used: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """One row for each kind: its rows in no task, and all its rows."""
+    in_task = used.select(*by).distinct().withColumn("_used", F.lit(1))
+    marked = rows.join(in_task, by, "left")
+    return marked.groupBy(kind).agg(F.count(F.when(F.col("_used").isNull(), 1)).alias("n_noise"), F.count("*").alias("n"))

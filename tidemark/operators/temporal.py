@@ -17,8 +17,8 @@ def asof(probes: DataFrame, frames: DataFrame, by: list[str], probe_ts: str, fra
     """
     names = probes.columns
     side, when, own, seen, order = "_side", "_when", "_own", "_seen", "_order"
-    left = probes.select(*by, F.col(probe_ts).alias(when), F.lit(0 if strict else 1).alias(side), F.lit(None).cast("string").alias(order), F.struct(*names).alias(own))
-    tie_col = F.lit(None).cast("string") if tie is None else F.lpad(F.col(tie).cast("string"), 20, "0")
+    left = probes.select(*by, F.col(probe_ts).alias(when), F.lit(0 if strict else 1).alias(side), F.lit(None).cast(frames.schema[tie].dataType if tie else "string").alias(order), F.struct(*names).alias(own))
+    tie_col = F.lit(None).cast("string") if tie is None else F.col(tie)
     right = frames.where(F.col(frame_ts).isNotNull()).select(*by, F.col(frame_ts).alias(when), F.lit(1 if strict else 0).alias(side), tie_col.alias(order), F.struct(*take).alias(seen))
     both = left.unionByName(right, allowMissingColumns=True)
     keys = [F.col(when).asc_nulls_first() if backward else F.col(when).desc_nulls_first(), F.col(side), F.col(order) if backward else F.col(order).desc()]
@@ -146,3 +146,16 @@ def newest(rows: DataFrame, by: list[str], ts: str, tie: str, most: int) -> Data
     """The ``most`` newest rows of each ``by``: what a bounded buffer holds."""
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(ts).desc(), F.col(tie).desc()))
     return rows.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth")
+
+
+def chunk_frames(rows: DataFrame, by: list[str], order: list[str], size: int, path: str, ts: str) -> DataFrame:
+    """Chunks of ``size`` rows in order: ``by``, ``chunk_index``, ``n_rows``, first and last time, and the rows' ``paths``, in order."""
+    numbered = chunks(rows, by, order, size)
+    paths = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(path).alias("_path")))), lambda x: x["_path"])
+    return numbered.groupBy(*by, "chunk_index").agg(F.count("*").alias("n_rows"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), paths.alias("paths"))
+
+
+def active_bursts(boundaries: DataFrame, by: list[str], now: int, ts: str = "ts", state: str = "request_state") -> DataFrame:
+    """How many bursts of each ``by`` are open at a time: starts up to ``now`` less ends up to it."""
+    step = F.when(F.col(state) == "start", 1).when(F.col(state) == "end", -1).otherwise(0)
+    return boundaries.where(F.col(ts) <= now).groupBy(*by).agg(F.sum(step).alias("n_active"))

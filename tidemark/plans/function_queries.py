@@ -113,11 +113,8 @@ def useful_elements(spark, sf_dir) -> DataFrame:
 def cursor_movements(spark, sf_dir) -> DataFrame:
     monitor = F.struct(F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(1000).alias("width"), F.lit(500).alias("height"))
     rows = events(spark, sf_dir).select("session_id", "event_id", "ts", F.array((F.col("k") * 17).cast("double"), (F.col("k") * 7).cast("double")).alias("cursor_position"), monitor.alias("frame_monitor"))
-    rows = rows.withColumn("spot", F.array_append("cursor_position", F.col("event_id").cast("double"))).withColumn("cursor_position", F.col("spot"))
-    moved = cursor.movements(rows, ["session_id"], ["ts", "event_id"])
-    # the id rides along as a third coordinate; equal places are no move
-    moved = moved.where((F.get("start", F.lit(0)) != F.get("end", F.lit(0))))
-    return moved.select(F.get("end", F.lit(2)).cast("bigint").alias("event_id"), F.get("start", F.lit(0)).alias("from_x"), F.get("end", F.lit(0)).alias("to_x"))
+    moved = cursor.movements(rows, ["session_id"], ["ts", "event_id"], keep=("event_id",))
+    return moved.select("event_id", F.get("start", F.lit(0)).alias("from_x"), F.get("end", F.lit(0)).alias("to_x"))
 
 
 @query("carried_cursor")

@@ -10,6 +10,7 @@ from tidemark.operators import audit, bursts, sanitize, temporal
 from tidemark.plans.mapping import BURSTS_SQL, DAY, EVENTS_SQL, FRAMES_SQL, GAP_US, TOTALS_US, events, frames
 from tidemark.plans.registry import query
 from tidemark.schemas import PADDING_US
+from tidemark.streaming import live
 
 HOUR_US = 3_600_000_000
 
@@ -84,7 +85,7 @@ BOUNDS_SQL = f"""{MIDS_SQL},
 
 @query("burst_boundaries", f"{BOUNDS_SQL} SELECT *, category || '_' || request_state || '_' || reason AS label FROM bounds")
 def burst_boundaries(spark, sf_dir) -> DataFrame:
-    rows = bursts.boundaries(events(spark, sf_dir), GAP_US, TOTALS_US)
+    rows = bursts.boundaries(events(spark, sf_dir), GAP_US, TOTALS_US).drop("monitor_index")
     return rows.withColumn("label", text.reason(F.col("category"), F.col("request_state"), F.col("reason")))
 
 
@@ -267,9 +268,7 @@ def throttled_events(spark, sf_dir) -> DataFrame:
         SELECT session_id, burst_id, category, coalesce(start_ts, ts) AS start_ts, ts AS end_ts FROM w WHERE request_state <> 'start' AND (start_ts IS NOT NULL OR request_state = 'end')""",
 )
 def live_segments(spark, sf_dir) -> DataFrame:
-    from tidemark.streaming.live import segments
-
-    return segments(bursts.boundaries(events(spark, sf_dir), GAP_US, TOTALS_US))
+    return live.segments(bursts.boundaries(events(spark, sf_dir), GAP_US, TOTALS_US))
 
 
 @query(
@@ -281,9 +280,8 @@ def live_segments(spark, sf_dir) -> DataFrame:
 def window_clip(spark, sf_dir) -> DataFrame:
     rows = events(spark, sf_dir)
     ids = bursts.summaries(bursts.with_bursts(rows, GAP_US))
-    now = rows.agg(F.max("ts").alias("t"))  # one row
-    seen = ids.join(F.broadcast(now), (F.col("end_ts") >= F.col("t") - 10 * DAY) & (F.col("start_ts") <= F.col("t")))
-    return seen.select("session_id", "category", "burst_id", F.greatest("start_ts", F.col("t") - 10 * DAY).alias("clip_start"), F.least("end_ts", "t").alias("clip_end"))
+    now = rows.agg(F.max("ts")).first()[0]
+    return live.seen(ids, now, 10 * DAY).select("session_id", "category", "burst_id", F.col("start_ts").alias("clip_start"), F.col("end_ts").alias("clip_end"))
 
 
 @query("newest_frames", f"WITH {FRAMES_SQL} SELECT session_id, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY frame_ts DESC, frame_id DESC) AS n FROM fr) WHERE n <= 3")

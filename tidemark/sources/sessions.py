@@ -11,9 +11,12 @@ PICTURES = ("jpg", "jpeg", "png")
 
 
 def _flags(files: DataFrame, root: str, pictures: tuple[str, ...]) -> DataFrame:
-    below = F.regexp_replace("path", rf"^.*{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
-    parts = F.split(below, "/")
-    rows = files.select(F.get(parts, F.lit(0)).alias("session_id"), F.array_join(F.slice(parts, 2, 100), "/").alias("rest")).where("rest <> ''")
+    sc = files.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(root)
+    whole = folder.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    below = F.substring("path", F.lit(len(whole) + 1), F.length("path"))
+    rows = files.where(F.col("path").startswith(whole)).select(F.substring_index(below, "/", 1).alias("session_id"), below.alias("below"))
+    rows = rows.select("session_id", F.substring("below", F.length("session_id") + 2, F.length("below")).alias("rest")).where("rest <> ''")
     picture = F.lower(F.substring_index("rest", ".", -1)).isin(*pictures)
     return rows.groupBy("session_id").agg(
         F.max(F.col("rest") == "aggregations.jsonl").alias("has_aggregations"),
