@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import hash_key
+
 
 def keep_changed(frames: DataFrame, by: list[str], order: list[str], hash_col: str, threshold: int = 1) -> DataFrame:
     """Frames whose hash differs in more than ``threshold`` bits from the last one kept.
@@ -35,3 +37,9 @@ def keep_changed(frames: DataFrame, by: list[str], order: list[str], hash_col: s
             yield b[keep].drop(columns=["_absent", "_hash"])
 
     return dealt.mapInPandas(fold, frames.schema)
+
+
+def with_hashes(rows: DataFrame, hashes: DataFrame, path: str, name: str = "hash") -> DataFrame:
+    """``rows`` with the hash that the cache has for their path, by its last three parts; null where it has none."""
+    known = hashes.select(F.col("key").alias("_key"), F.col("hash").alias(name))
+    return rows.join(known, hash_key(F.col(path)) == F.col("_key"), "left").drop("_key")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -34,7 +35,19 @@ class FixedClient(Client):
         return json.dumps([{"start": "00:00", "end": "00:01", "caption": f"{len(prompt)} characters"}])
 
 
-CLIENTS: dict[str, Callable[..., Client]] = {"fixed": FixedClient}
+class ListingClient(Client):
+    """A stand-in for a model that goes through the numbered lines of a prompt: each gets a caption and a task, even numbers are relevant."""
+
+    def upload(self, path: str, session_id: str | None = None) -> object:
+        return path
+
+    def generate(self, prompt: str, file: object = None, schema: dict | None = None) -> str:
+        ids = [int(n) for n in re.findall(r"(?m)^(?:\[ID: |ID )(\d+)", prompt)]
+        entries = [{"id": n, "clean_caption": f"event {n}", "event_id": n, "task_ids": ["odd" if n % 2 else "even", *(["all"] if n % 3 == 0 else [])]} for n in ids]
+        return json.dumps({"entries": entries, "caption": f"{len(ids)} steps", "category": "Data Processing", "relevant_event_ids": [n for n in ids if n % 2 == 0]})
+
+
+CLIENTS: dict[str, Callable[..., Client]] = {"fixed": FixedClient, "listing": ListingClient}
 
 
 def client(kind: str, **options) -> Client:
@@ -95,3 +108,23 @@ def segment_tasks(transcripts: DataFrame, make: Callable[[], Client], by: list[s
     asked = transcripts.withColumn("prompt", F.concat(F.lit(instruction), F.col("transcript")))
     found = entries(answers(asked, make), "answer", "event_id:int,task_ids:array<string>", by)
     return found.select(*by, F.col("event_id").alias("event_no"), "task_ids")
+
+
+def register(kind: str, make: Callable[..., Client]) -> None:
+    """Make a kind of client known by name."""
+    CLIENTS[kind] = make
+
+
+def describe_tasks(task_rows: DataFrame, make: Callable[[], Client], by: list[str], number: str = "event_no", caption: str = "caption", instruction: str = "") -> DataFrame:
+    """A model's description of each task, and which of its events matter: ``by``, ``task_id``, ``task_caption``, ``task_category``, ``number``.
+
+    One call for each task with its captions in order; the events it doesn't name
+    are left out, and tasks without a usable answer too.
+    """
+    lines = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(caption).alias("c"))))
+    text = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("ID "), x["n"], F.lit(": "), F.coalesce(x["c"], F.lit("")))), "\n")
+    asked = task_rows.groupBy(*by, "task_id").agg(F.collect_set(number).alias("_there"), F.concat(F.lit(instruction), text).alias("prompt"))
+    said = F.from_json("answer", "caption string, category string, relevant_event_ids array<int>")
+    told = answers(asked, make).select(*by, "task_id", "_there", said.alias("a")).where("a.relevant_event_ids is not null")
+    named = F.array_intersect("_there", F.col("a.relevant_event_ids").cast("array<int>"))
+    return told.select(*by, "task_id", F.col("a.caption").alias("task_caption"), F.col("a.category").alias("task_category"), F.explode(named).alias(number))

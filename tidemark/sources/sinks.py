@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -42,3 +44,19 @@ def stream_to(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 
 def stream_to_console(df: DataFrame, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("console").outputMode("append").option("checkpointLocation", checkpoint).start()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path for tables on their way: below ``spark.checkpoint.dir``, or on a local master, where that is unset, in a temporary folder. It goes when the application ends."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path

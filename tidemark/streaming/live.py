@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.bursts import STALE, OpenBurst
+from tidemark.operators.temporal import link_next
 from tidemark.schemas import EMISSION_DELAY
 
 
@@ -105,6 +106,17 @@ def stream_links(requests: DataFrame, late: str = EMISSION_DELAY) -> DataFrame:
     return timed.groupBy("session_id").applyInPandasWithState(step, LINKED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def flushed_links(requests: DataFrame, emitted: DataFrame, now_us: int) -> DataFrame:
+    """What is still held when a stream ends: the boundaries not emitted yet, each with the next one's time, a session's last with ``now_us``.
+
+    A batch step over the logged boundaries, to run at shutdown; with what was
+    emitted before, every boundary is there once.
+    """
+    keys = ["session_id", "burst_id", "request_state", "ts", "event_id"]
+    every = link_next(requests.select("session_id", "category", *keys[1:]), ["session_id"], "ts", ["event_id", "burst_id"], "end_ts", F.lit(now_us).cast("long"))
+    return every.join(emitted.select(*keys), keys, "left_anti").select("session_id", "category", "burst_id", "request_state", "ts", "event_id", "end_ts")
+
+
 def stream_frames(events: DataFrame, frames: DataFrame, ring: int, padding_us: int) -> DataFrame:
     """A stream of events, each with the last frame at least ``padding_us`` older, from the newest ``ring`` frames of its session.
 
