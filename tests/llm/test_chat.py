@@ -73,7 +73,17 @@ def test_trees_against_all_paths(spark, seed):
 
 def test_circles_and_empty_tables(spark):
     nodes = spark.createDataFrame([(1, 1, 2, "user", "a"), (1, 2, 1, "user", "b")], "tree long, node long, parent long, role string, text string")
-    with pytest.raises(ValueError):
-        chat.paths(nodes)
+    assert chat.format_trees(nodes).collect() == []  # no root, no path
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_trees(chat.chains(turns)).collect() == []
+
+
+def test_repeated_nodes_and_circles(spark):
+    """A doubled root adds no turns, and a circle in one tree leaves the others as they are."""
+    rows = [(1, 1, None, "user", "hi"), (1, 1, None, "user", "hi"), (1, 2, 1, "assistant", "yes"), (1, 2, 1, "assistant", "yes")]
+    rows += [(2, 1, 3, "user", "a"), (2, 2, 1, "user", "b"), (2, 3, 2, "user", "c"), (2, 4, 3, "user", "below"), (2, 5, None, "user", "alone")]
+    rows += [(3, 1, None, None, None), (None, 1, None, "user", "no tree")]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string")
+    out = {r.tree: [(t.role, t.text) for t in r.turns] for r in chat.format_trees(nodes).select("tree", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert out == {1: [("user", "hi"), ("assistant", "yes")], 2: [("user", "alone")], 3: [("", "")], None: [("user", "no tree")]}
+    assert chat.format_trees(nodes.limit(0)).collect() == []

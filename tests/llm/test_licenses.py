@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import licenses
@@ -100,3 +101,52 @@ def test_columns(spark):
     one = [("MIT notice", 0, 30)]
     assert [g for g in got if g[0] != 7] == [(1, []), (2, []), (3, []), (4, [("MIT notice", 2, 32), ("MIT notice", 36, 66)]), (5, one), (5, one), (6, [("MIT notice", 4, 34)]), (None, one)]
     assert licenses.with_licenses(docs.limit(0)).collect() == []
+
+
+def plain_score(template, text):
+    """Smith-Waterman over the whole table, a row at a time: best score."""
+    text, best = np.array([-1 if x is None else x for x in text]), 0
+    row, steps = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+    for w in template:
+        new = np.maximum(0, row - 1)
+        new[1:] = np.maximum(new[1:], row[:-1] + np.where(text == w, 1, -1))
+        row = np.maximum.accumulate(new + steps) - steps  # gaps in the template
+        best = max(best, int(row.max()))
+    return best
+
+
+def test_query_against_every_template(spark, tmp_path):
+    """The query over a table of texts, against full alignments of all templates with all texts.
+
+    Wherever a full alignment scores 0.6 of a template or more, the query
+    reports that template or one that scores no less; what it reports does score.
+    """
+    from tidemark.llm.queries import QUERIES
+
+    rng = random.Random(21)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    short = [n for n, t in licenses.TEMPLATES.items() if len(licenses.words(t)) < 260]
+    rows = [None, "", noise(60), "the and of this is to be in software " * 10]
+    for name in short:
+        own = licenses.TEMPLATES[name].split()
+        for _ in range(len(own) // 12):  # some words go, some are changed
+            at = rng.randrange(len(own))
+            own[at] = rng.choice(["", "changed", own[at]])
+        rows.append(f"{noise(20)} {' '.join(own)} {noise(20)}")
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {}
+    for r in QUERIES["op8_licenses"](spark, str(tmp_path)).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert set(found) == set(range(len(rows)))
+    for i, text in enumerate(rows):
+        numbers = list(map(INDEX.vocabulary.get, licenses.words(text or "")))
+        scores = {n: plain_score(t, numbers) for n, t in zip(INDEX.names, INDEX.templates, strict=True)} if numbers else {}
+        told = [r.license for r in found[i] if r.license is not None]
+        assert all(scores[n] > 0 for n in told) and found[i][0].n_licenses == len(told)
+        due = [s for n, s in scores.items() if s >= 0.6 * len(INDEX.templates[INDEX.names.index(n)])]
+        if due:
+            assert told and max(scores[n] for n in told) >= max(due) - 8, (i, told)
+        for r in found[i]:
+            if r.license is not None:
+                assert r.coverage >= 0.6 and 0 <= r.start < r.stop <= len(text)
+    assert not [r for i in range(4) for r in found[i] if r.license is not None]

@@ -86,3 +86,15 @@ def test_documents_with_nothing(spark):
     for f in (mixing.mix_documents, mixing.keep_mixed):
         assert f(docs.limit(0)).collect() == []
         assert f(docs.where("doc_id < 3")).count() in (0, 2)
+
+
+def test_given_targets(spark):
+    """Token shares of what stays come near the targets of a table; a value without target goes."""
+    rows = [(i, ("a", "b", "c")[i % 3], "x" if i % 2 else "y", 10) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long")
+    source = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "source string, share double")
+    lang = spark.createDataFrame([("x", 0.5), ("y", 0.5)], "lang string, share double")
+    kept = mixing.mix(docs, {"source": source, "lang": lang}, 0.3).where("sampled").groupBy("source", "lang").count().collect()
+    total = sum(r["count"] for r in kept)
+    share = lambda c, v: sum(r["count"] for r in kept if r[c] == v) / total
+    assert abs(total - 1800) < 150 and abs(share("source", "a") - 0.75) < 0.03 and abs(share("lang", "x") - 0.5) < 0.03 and share("source", "c") == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.pii import running
 from tidemark.llm.util import stored
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -45,7 +46,8 @@ def rooted(shape: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     Returns (``tree``, ``node``, ``depth``, ``total``), and the table of every
     round: for each node that has one its ancestor 2**k steps up. A tree of
     depth d takes log2(d) rounds, and a round joins only the nodes that have
-    not reached their root. Nodes whose parent isn't there count as roots.
+    not reached their root. Nodes whose parent isn't there count as roots; those
+    whose parents go round in a circle have no root and are left out.
     """
     there = shape.select(F.col("tree").alias("t"), F.col("node").alias("above"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
@@ -53,8 +55,8 @@ def rooted(shape: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     hop = stored(hop.select("tree", "node", F.col("above").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total")), "hops")
     ended, hops, most = [hop.where("up is null")], [], hop.count().bit_length()
     while (open_ := hop.where("up is not null")).limit(1).count():
-        if len(hops) > most:
-            raise ValueError("the replies go round in a circle")
+        if len(hops) > most:  # what is open now goes round in a circle
+            break
         hops.append(open_)
         known = open_
         for e in ended:
@@ -69,11 +71,19 @@ def rooted(shape: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return sums.select("tree", "node", "depth", "total"), hops
 
 
+def once_each(nodes: DataFrame) -> DataFrame:
+    """One row for each ``node`` of a ``tree``: of repeated ones the first by parent, role and text."""
+    first = F.min(F.struct(*(F.struct(F.col(c).isNull(), F.col(c).alias("v")).alias(c) for c in ("parent", "role", "text"))))
+    return nodes.groupBy("tree", "node").agg(first.alias("n")).select("tree", "node", *(F.col(f"n.{c}.v").alias(c) for c in ("parent", "role", "text")))
+
+
 def paths(nodes: DataFrame, best: int = 1, score: Column | None = None) -> DataFrame:
     """The ``best`` root-to-leaf paths of every tree, by summed score: ``tree``, ``rank``, ``leaf``, ``at``, ``role``, ``text``.
 
     ``nodes`` has ``tree``, ``node`` (a long, once in its tree), ``parent``
-    (null at a root), ``role`` and ``text``. ``at`` counts from 0 at the root.
+    (null at a root), ``role`` and ``text``; tables where nodes may repeat go through ``once_each``
+    first, as ``format_trees`` does. Nodes on a circle of replies, and those below them, are on no
+    path. Null trees are one tree; an empty table gives an empty result. ``at`` counts from 0 at the root.
     Without ``score`` a node scores the length of its text. Paths of the same
     score go by depth, deeper first, then by leaf. From the chosen leaves, the
     nodes above are enumerated with the tables of all rounds, longest steps
@@ -103,23 +113,27 @@ def formatted(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """One row for each path of ``paths``: ``tree``, ``rank``, ``formatted`` and ``loss``.
 
     A turn is ``<|im_start|>role``, a line break, the text, ``<|im_end|>`` and
-    a line break, with texts and roles escaped. ``loss`` has the spans (code
+    a line break, with texts and roles escaped; null roles and texts count as empty. ``loss`` has the spans (code
     points, end exclusive) of the texts, as escaped, of role ``learn``.
     """
-    turn = F.struct("at", escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == learn).alias("learn"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turn = F.struct("at", escape_role(role).alias("role"), escape(text).alias("text"), (role == learn).alias("learn"))
     rows = turns.groupBy("tree", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     head, tail = len(START) + 1, len(END) + 1
     sizes = F.transform("turns", lambda t: F.length(t["role"]) + F.length(t["text"]) + head + tail)
-    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
+    ends = running(sizes, lambda a, b: a + b)
     spans = F.transform("turns", lambda t, i: F.struct((F.get("ends", i) - tail - F.length(t["text"])).alias("start"), (F.get("ends", i) - tail).alias("stop"), t["learn"].alias("learn")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))), "")
     loss = F.transform(F.filter(spans, lambda s: s["learn"]), lambda s: s.dropFields("learn")).cast(SPANS)
     return rows.withColumn("ends", ends).select("tree", "rank", whole.alias("formatted"), loss.alias("loss"))
 
 
-def format_trees(nodes: DataFrame, best: int = 1, score: Column | None = None, learn: str = "assistant") -> DataFrame:
-    """Reply trees to conversations: the ``best`` paths of every tree, each one formatted."""
-    return formatted(paths(nodes, best, score), learn)
+def format_trees(nodes: DataFrame, best: int = 1, score: Column | None = None, learn: str = "assistant", repeats: bool = True) -> DataFrame:
+    """Reply trees to conversations: the ``best`` paths of every tree, each one formatted.
+
+    Repeated nodes count once; ``repeats`` may be False where there are none, as from ``chains``. ``score`` is of ``parent``, ``role`` and ``text``.
+    """
+    return formatted(paths(once_each(nodes) if repeats else nodes, best, score), learn)
 
 
 def read_turns(text: Column) -> Column:

@@ -157,10 +157,11 @@ def scan(text: str, index: Index, least_coverage: float = 0.6, band: int = 8) ->
         for score, matched, first, end in _chains(_pieces(template, numbers, own, near), near, len(template)):
             if matched / len(template) >= least_coverage:
                 found.append((-score, -matched / len(template), t, matched, first, end))
-    kept: list[tuple] = []
+    kept: list[tuple] = []  # by place, so that only its neighbours can overlap a match
     for f in sorted(set(found)):
-        if all(f[5] <= o[4] or f[4] >= o[5] for o in kept):
-            kept.append(f)
+        at = bisect_left(kept, f[4], key=lambda o: o[4])
+        if (not at or kept[at - 1][5] <= f[4]) and (at == len(kept) or f[5] <= kept[at][4]):
+            kept.insert(at, f)
     if not kept:
         return []
     spans = [m.span() for m in WORD.finditer(_lowered(text))]

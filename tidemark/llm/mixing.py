@@ -110,22 +110,25 @@ def probabilities(fitted: DataFrame, keep: float) -> DataFrame:
     return fitted.withColumn("probability", F.least(F.lit(1.0), ratio * up))
 
 
-def mix(docs: DataFrame, dimensions: dict[str, float], keep: float, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+def mix(docs: DataFrame, dimensions: dict[str, float | DataFrame], keep: float, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """``docs`` with ``probability`` and ``sampled``.
 
-    ``dimensions`` gives columns of ``docs`` and the power that tempers their
-    token shares to targets. All documents are counted into cells, tasks first;
+    ``dimensions`` gives columns of ``docs`` and their targets: a table of the
+    values (as text, in a column of that name) and their ``share``, or the power that tempers
+    their token shares. Columns ``probability`` and ``sampled`` of ``docs`` are replaced; repeated rows
+    stay or go together; an empty table stays empty. All documents are counted into cells, tasks first;
     cells are raked; every document stays with its cell's probability, decided
     by a hash of its id (of its other columns if that is null), so a document
     is decided alike wherever it runs. Null values of a dimension are a value
     of their own; documents without tokens have probability 0 unless all
     have none.
     """
-    dims = list(dimensions)
+    docs, dims = docs.drop("probability", "sampled"), list(dimensions)
     keys = {d: fresh(docs, f"{d}_key") for d in dims}
     values = {d: F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in dims}
     cells = stored(docs.groupBy(*(values[d].alias(keys[d]) for d in dims)).agg(F.coalesce(F.sum(tokens_col), F.lit(0)).cast("long").alias("tokens")), "cells")
-    fitted = probabilities(rake(cells, {keys[d]: tempered(cells, keys[d], p) for d, p in dimensions.items()}), keep)
+    given = lambda d, t: t.select(F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(keys[d]), "share") if isinstance(t, DataFrame) else tempered(cells, keys[d], t)
+    fitted = probabilities(rake(cells, {keys[d]: given(d, t) for d, t in dimensions.items()}), keep)
     chances = stored(fitted.select(*keys.values(), "probability"), "chances")
     small = F.broadcast(chances) if chances.count() <= BROADCAST_CELLS else chances
     marked = docs.select("*", *(values[d].alias(keys[d]) for d in dims)).join(small, list(keys.values()), "left").fillna(0.0, ["probability"])
