@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tidemark.llm.util import stored
 
 #: Bits of a key's hash: the first 15 hex digits of its md5, which any engine can compute.
 BITS = 60
-#: Bits added to the directory at a time.
+#: Bits added to the directory at a time, at most.
 STEP = 6
 #: A directory of at most so many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -33,10 +35,11 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
 
     Starts with one bucket of depth 0. Only buckets over ``limit`` bytes split,
     on one more bit of the hash, until all fit (``whole``) or have a single hash
-    left; empty halves are left out. ``STEP`` splits are worked out together:
-    the rows of oversized buckets are summed by their next ``STEP`` bits once,
-    and the sums in between come from these. So the rows are read once for
-    every ``STEP`` bits, and a hot key is summed before it moves.
+    left; empty halves are left out. Up to ``STEP`` splits, one more than the
+    largest bucket needs if its bytes spread evenly, are worked out together:
+    the rows of oversized buckets are summed by their next bits once, and the
+    sums in between come from these. So the rows are read once for every few
+    bits, and a hot key is summed before it moves.
     """
     told = [F.sum("bytes").cast("long").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     split = lambda b, lo, hi: (F.col(b) > limit) & (F.col(lo) < F.col(hi))
@@ -45,10 +48,11 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
     made, done, at = stored(top, "buckets"), [], 0
     while True:
         done.append(made.where(~split("bytes", "lo", "hi")))
-        large = made.where(split("bytes", "lo", "hi") & (F.col("depth") == at)).select("prefix")
-        if at == BITS or not large.limit(1).count():
+        large = made.where(split("bytes", "lo", "hi") & (F.col("depth") == at)).select("prefix", "bytes")
+        most = large.agg(F.max("bytes")).first()[0]
+        if at == BITS or most is None:
             break
-        low = min(at + STEP, BITS)
+        large, low = large.select("prefix"), min(at + min(STEP, ceil(log2(most / max(limit, 1))) + 1), BITS)
         inside = leaf.withColumn("prefix", prefix(F.col("h"), F.lit(at))).join(_small(large), "prefix", "left_semi")
         fine = stored(inside.groupBy(prefix(F.col("h"), F.lit(low)).alias("fine")).agg(*told), "fine")
         sums = fine.withColumn("depth", F.explode(F.sequence(F.lit(at + 1), F.lit(low))))
