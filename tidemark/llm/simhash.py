@@ -230,12 +230,12 @@ def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, ne
     keys = classes.select("c", *signs).mapInArrow(keyed, "key long, c long")
     ends = stored(keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi"), "ends")
     pairs = keys.join(ends, "key").select("c", F.explode(F.array("lo", "hi")).alias("b")).where("c <> b")
-    pairs = stored(pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct(), "pairs")
+    pairs = pairs_made = stored(pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct(), "pairs")
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("c").alias(side), F.struct(*signs, *(popcounts(F.col(s)).alias(f"p_{s}") for s in signs)).alias(f"of_{side}")), side)
     at_least = sum(manhattan(F.col(f"of_a.p_{s}"), F.col(f"of_b.p_{s}")) for s in signs)
     exact = sum(F.bit_count(F.col(f"of_a.{s}").bitwiseXOR(F.col(f"of_b.{s}"))) for s in signs)
-    close = stored(pairs.where(at_least <= near.radius).where(exact <= near.radius).select("a", "b"), "close")
+    close = stored(pairs.where(at_least <= near.radius).where(exact <= near.radius).select("a", "b", exact.alias("bits")), "close")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
@@ -245,11 +245,22 @@ def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, ne
     wanted = stored(close.select(F.col("a").alias(rid)).union(close.select("b")).distinct(), "wanted")
     texts = whole.select(rid, text_col).join(_checked(wanted), rid, "left_semi")
     sets = stored(texts.mapInArrow(shingled, "c long, shingles array<int>"), "shingles")
-    for side in ("b", "a"):
-        close = close.join(sets.select(F.col("c").alias(side), F.col("shingles").alias(f"of_{side}")), side)
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    links = stored(close.where(shared >= near.similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"), "near")
-    discard(ends, wanted, sets)
+
+    def decided(some: DataFrame) -> DataFrame:
+        for side in ("b", "a"):
+            some = some.join(sets.select(F.col("c").alias(side), F.col("shingles").alias(f"of_{side}")), side)
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        return stored(some.where(shared >= near.similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"), "near")
+
+    # each with its nearest first: of the other candidates, those within a group so found can add nothing
+    first = decided(close.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    groups = stored(connected_components(first), "groups")
+    rest = close.select("a", "b")
+    for side in ("a", "b"):
+        rest = rest.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = first.union(decided(rest))
+    discard(ends, wanted, pairs_made)
     return links
 
 

@@ -38,7 +38,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     fs, at = _place(spark, path)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -48,6 +49,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Arrow batches of few rows while the block runs, so that tasks hold little at a time; then the session's own setting again."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(own)) if int(own) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def _place(spark: SparkSession, path: str):
     sc = spark.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
