@@ -38,13 +38,18 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     texts with very long runs of blanks; its merges join in the order of their
     ids, which is what ranks mean. Any other file is run by its own library.
     """
-    own = Tokenizer.from_file(path)
-    slow = lambda text: np.array(own.encode(text, add_special_tokens=False).ids, np.int32)
+    slow = lambda text: np.array(_own(path).encode(text, add_special_tokens=False).ids, np.int32)
     if (fast := _byte_level(path)) is None:
         return slow
     return lambda text: slow(text) if len(text) >= 100_000 and BLANKS.search(text) else fast.encode_to_numpy(text, allowed_special="all").astype(np.int32)
 
 
+@cache
+def _own(path: str) -> Tokenizer:
+    """The named library's tokenizer, which takes much memory: made where a text asks for it."""
+    return Tokenizer.from_file(path)
+
+
 def _byte_level(path: str) -> tiktoken.Encoding | None:
     """The vocabulary for the faster library, if it is a plain byte-level BPE whose merges follow its ids."""
     with open(path, encoding="utf-8") as f:
