@@ -1,3 +1,4 @@
+import random
 import hashlib
 import struct
 import zlib
@@ -114,3 +115,20 @@ def test_columns_of_bad_media_and_empty_tables(spark):
     out = {r.id: r for r in gif.with_frames(media).collect()}
     assert out[1].frames is None and out[2].payload is None and out[3].payload.rstrip(b"\0") == b"ok"
     assert gif.with_frames(gif.with_gif(spark.createDataFrame([], "text string"))).collect() == []
+
+
+def test_damaged_streams_are_null_not_errors(spark):
+    """Single bytes changed at random: a damaged GIF reads as something or as null, and no error leaves the reader."""
+    rng = random.Random(13)
+    whole = gif.store_text("some text, some text, another text " * 20)
+    odd = []
+    for _ in range(1500):
+        own = bytearray(whole)
+        own[rng.choice([rng.randrange(len(own)), rng.randrange(13), rng.randrange(781, 801)])] = rng.randrange(256)
+        odd.append(bytes(own))
+        try:
+            gif.read_gif(odd[-1])
+        except ValueError:
+            pass
+    out = gif.with_frames(spark.createDataFrame([(x, 1) for x in odd[:200]], "media binary, frames int")).collect()
+    assert len(out) == 200 and all((r.frames is None) == (r.payload is None) for r in out)
