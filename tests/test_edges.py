@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import accessibility, text, timefmt
 from tidemark.operators import bursts, cursor, tasks, temporal
-from tidemark.sources import sessions
+from tidemark.sources import sessions, sinks
 
 
 def test_ties_by_long_keys(spark):
@@ -57,3 +57,10 @@ def test_boundaries_keep_the_monitor(spark):
     rows = [(1, "key", t, t, m) for t, m in ((0, 1), (1, 1), (2, 2), (3, 2))]
     out = bursts.boundaries(spark.createDataFrame(rows, "session_id long, category string, ts long, event_id long, monitor_index int"), 5, {"key": 100})
     assert sorted((r.ts, r.request_state, r.monitor_index) for r in out.collect()) == [(0, "start", 1), (2, "mid", 2), (3, "end", 2)]
+
+
+def test_pictures_that_are_kept(spark):
+    frames = spark.createDataFrame([(1_500_000, True), (2_500_000, False), (3_500_000, None)], "frame_ts long, wanted boolean")
+    for buffer_all, want in ((False, ["1.500000"]), (True, ["1.500000", "2.500000", "3.500000"])):
+        out = sinks.chosen_frames(frames, F.col("wanted"), F.lit("key_start"), buffer_all=buffer_all).collect()
+        assert sorted(r.path.split("_reason_key_start")[0] for r in out) == want

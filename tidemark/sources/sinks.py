@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.text import frame_name
+
 
 def append_json(df: DataFrame, path: str) -> None:
     """Add records (events, aggregations, frame metadata) to a JSON log."""
@@ -30,6 +33,12 @@ def write_dataset(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def chosen_frames(frames: DataFrame, forced: Column, reason: Column, ts: str = "frame_ts", buffer_all: bool = False) -> DataFrame:
+    """Metadata of the frames whose pictures are kept: ``forced`` ones, or all with ``buffer_all``; ``path`` has time and reason."""
+    kept = frames if buffer_all else frames.where(F.coalesce(forced, F.lit(False)))
+    return kept.withColumn("path", frame_name(F.col(ts) / 1e6, reason))
+
+
 def stream_to_json(df: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Append a stream to a JSON log; with ``once``, what is there now, and then end."""
     writer = df.writeStream.format("json").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
