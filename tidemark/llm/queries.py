@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, langid, licenses, mixing, neighbours, packing, pii, sharding, simhash
+from tidemark.llm import chat, gif, langid, lexical, licenses, mixing, neighbours, packing, pii, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -204,4 +204,34 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.explode_outer("licenses").alias("l")).select("doc_id", "n_licenses", "l.*")
 
 
+SEARCH_SQL = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS place, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS found
+        FROM documents),
+    whole AS (SELECT CAST(count(*) FILTER (WHERE len(found) > 0) AS BIGINT) AS documents, CAST(sum(len(found)) AS BIGINT) AS length FROM d),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark),
+    counted AS (
+        SELECT place, doc_id, n, term, count(*) AS tf
+        FROM (SELECT place, doc_id, CAST(len(found) AS BIGINT) AS n, unnest(found) AS term FROM d)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * documents + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counted, whole GROUP BY term, documents),
+    scored AS (
+        SELECT item_id, place, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // length)))) AS BIGINT) AS score
+        FROM asked JOIN counted USING (term) JOIN weights USING (term), whole
+        GROUP BY item_id, place, doc_id),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= 10
+"""
+
+
+@query("op13_lexical", SEARCH_SQL)
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
