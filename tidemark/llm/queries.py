@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, langid, lexical, licenses, mixing, neighbours, packing, pii, sharding, simhash
+from tidemark.llm import chat, gif, langid, lexical, licenses, mixing, neighbours, packing, pii, repair, sharding, simhash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -204,6 +204,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.explode_outer("licenses").alias("l")).select("doc_id", "n_licenses", "l.*")
 
 
+@query("op11_repair")
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    done = repair.repaired(repair.damaged(talks))
+    found = done.audits.join(repair.hashed(done.turns).withColumnRenamed("conv", "hashed"), F.col("conv").eqNullSafe(F.col("hashed")), "left")
+    every = talks.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 SEARCH_SQL = r"""
     WITH d AS (
         SELECT row_number() OVER () AS place, doc_id,
