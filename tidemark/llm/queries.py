@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, langid, lexical, licenses, mixing, neighbours, packing, pii, repair, sharding, simhash
+from tidemark.llm import chat, gif, langid, lexical, licenses, mixing, neighbours, packing, pii, repair, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -214,6 +214,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SEARCH_SQL = r"""
     WITH d AS (
         SELECT row_number() OVER () AS place, doc_id,
