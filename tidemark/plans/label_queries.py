@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry, text, timefmt
-from tidemark.operators import dataset, dedupe, labeling, tasks, temporal
+from tidemark.operators import dataset, dedupe, labeling, segmented, tasks, temporal
 from tidemark.plans.mapping import CAPTIONS_SQL, DAY, EVENTS_SQL, FRAMES_SQL, captions, events, frames, table
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLES, query
 from tidemark.schemas import MONITOR
 
 
@@ -49,6 +49,11 @@ def chunk_rows(spark, sf_dir) -> DataFrame:
     return temporal.chunks(events(spark, sf_dir), ["session_id"], ["ts", "event_id"], 20).select("event_id", "chunk_index")
 
 
+@query("chunk_rows_in_parts", ORACLES["chunk_rows"])
+def chunk_rows_in_parts(spark, sf_dir) -> DataFrame:
+    return segmented.chunks_in_parts(events(spark, sf_dir), ["session_id"], "ts", ["event_id"], 20, 3 * DAY).select("event_id", "chunk_index")
+
+
 @query(
     "chunk_frames",
     f"""WITH {FRAMES_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY frame_ts, frame_id) AS pos FROM fr),
@@ -81,6 +86,12 @@ def run_length(spark, sf_dir) -> DataFrame:
     return rows.groupBy("session_id", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
+@query("run_length_in_parts", ORACLES["run_length"])
+def run_length_in_parts(spark, sf_dir) -> DataFrame:
+    rows = segmented.runs_in_parts(events(spark, sf_dir), ["session_id"], "ts", ["event_id"], "event_type", 3 * DAY)
+    return rows.groupBy("session_id", "run").agg(F.first("event_type").alias("event_type"), F.count("*").alias("n"))
+
+
 BLOCKS_SQL = EVENTS_SQL + """,
     l AS (SELECT *, event_type IN ('mouse_move', 'mouse_scroll') AS loose FROM ev),
     b AS (SELECT *, CASE WHEN loose AND coalesce(lag(loose) OVER (PARTITION BY session_id ORDER BY ts, event_id), false) THEN 0 ELSE 1 END AS begins FROM l),
@@ -93,6 +104,12 @@ def block_reorder(spark, sf_dir) -> DataFrame:
     return labeling.reordered(events(spark, sf_dir), ["session_id"], ["ts", "event_id"]).select("event_id", "position")
 
 
+@query("block_reorder_in_parts", ORACLES["block_reorder"])
+def block_reorder_in_parts(spark, sf_dir) -> DataFrame:
+    rows = segmented.reordered_in_parts(events(spark, sf_dir), ["session_id"], "ts", ["event_id"], 3 * DAY)
+    return rows.select("event_id", F.col("position").cast("int").alias("position"))
+
+
 def _acted(spark, sf_dir) -> DataFrame:
     """Events with what a recorder would know: keys, buttons, places on one of two monitors, scrolls either way."""
     rows = events(spark, sf_dir)
@@ -264,6 +281,12 @@ def dedupe_last_kept(spark, sf_dir) -> DataFrame:
     return dedupe.keep_changed(events(spark, sf_dir), ["session_id"], ["ts", "event_id"], "k", 1).select("event_id")
 
 
+@query("dedupe_in_parts", ORACLES["dedupe_last_kept"])
+def dedupe_in_parts(spark, sf_dir) -> DataFrame:
+    """As ``dedupe_last_kept``, for sessions too large for one task: six days at a time, folded again where the day before ends otherwise than was thought."""
+    return segmented.keep_changed_in_parts(events(spark, sf_dir), ["session_id"], "ts", ["event_id"], "k", 6 * DAY).select("event_id")
+
+
 @query("hamming_pairs", f"WITH {EVENTS_SQL} SELECT event_id, CAST(bit_count(xor(k, lag(k) OVER (PARTITION BY session_id ORDER BY ts, event_id))) AS INTEGER) AS bits FROM ev QUALIFY bits IS NOT NULL")
 def hamming_pairs(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, timefmt
-from tidemark.operators import audit, bursts, sanitize, temporal
+from tidemark.operators import audit, bursts, sanitize, segmented, temporal
 from tidemark.plans.mapping import BURSTS_SQL, DAY, EVENTS_SQL, FRAMES_SQL, GAP_US, TOTALS_US, events, frames
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLES, query
 from tidemark.schemas import PADDING_US
 from tidemark.streaming import live
 
@@ -158,6 +158,12 @@ def link_boundaries(spark, sf_dir) -> DataFrame:
     return temporal.link_next(rows, ["session_id"], "ts", ["event_id", "request_state"]).select("session_id", "category", "burst_id", "request_state", "ts", _known("end_ts"))
 
 
+@query("links_in_parts", f"WITH {EVENTS_SQL} SELECT event_id, coalesce(lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id), -1) AS end_ts FROM ev")
+def links_in_parts(spark, sf_dir) -> DataFrame:
+    """Every event linked to the next of its session, three days at a time."""
+    return segmented.link_next_in_parts(events(spark, sf_dir), ["session_id"], "ts", ["event_id"], 3 * DAY, last=F.lit(-1).cast("bigint")).select("event_id", "end_ts")
+
+
 def _records(spark, sf_dir) -> DataFrame:
     """Views as records: every tenth lacks a path; the end is known for every third."""
     rows = frames(spark, sf_dir)
@@ -262,6 +268,13 @@ def throttled_events(spark, sf_dir) -> DataFrame:
     return bursts.throttled(events(spark, sf_dir), DAY, always, ["session_id", "category"]).select("event_id")
 
 
+@query("throttled_in_parts", ORACLES["throttled_events"])
+def throttled_in_parts(spark, sf_dir) -> DataFrame:
+    """As ``throttled_events``, for sessions too large for one task: by links to the next event that may be kept, three days at a time."""
+    always = ~F.col("event_type").isin("mouse_move", "key_press", "key_release")
+    return segmented.throttled_in_parts(events(spark, sf_dir), DAY, always, ["session_id", "category"], 3 * DAY).select("event_id")
+
+
 @query(
     "live_segments",
     f"""{BOUNDS_SQL}, w AS (SELECT *, lag(ts) OVER (PARTITION BY session_id, burst_id ORDER BY ts, CASE request_state WHEN 'start' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END, event_id) AS start_ts FROM bounds)

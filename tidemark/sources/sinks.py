@@ -69,3 +69,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return path
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written to a new ``scratch`` table and read back: it is computed once, and a lost executor loses nothing of it."""
+    path = scratch(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
