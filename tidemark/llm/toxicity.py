@@ -337,7 +337,7 @@ def _line(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
     return a, b
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, longest: int = 200_000) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 1200, longest: int = 200_000) -> Model:
     """Learn from labelled documents: evidence from all of them, the field from a bounded sample.
 
     Rows with a null label are left out, null texts are empty, labels other than
@@ -401,9 +401,13 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_rows: int = 1_000_000, sample_rows: int = 1200) -> DataFrame:
     """Learn from labelled documents outside the held-out fold; score every document.
 
+    About ``label_rows`` labels at most are learned from, chosen by a hash of
+    their id where there are more: so they can be sent to the documents, and no
+    text is shuffled.
+
     One row per document: ``id_col``, ``held_out``, ``score``, ``predicted``,
     ``n_spans`` and ``spans`` (``start:end`` by code points, comma-joined). An id
     with several labels is toxic if one says so; null ids have no label and belong
@@ -411,7 +415,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).groupBy("id").agg(F.max((F.col("toxic") != 0).cast("int")).alias("toxic"))
-    model = fit(slim.join(known, "id").where(~held_out("id")), "text", "toxic", sample_rows)
+    known = stored(known.where(F.col("toxic").isNotNull() & ~held_out("id")), "labels")
+    if (n := known.count()) > label_rows:
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(label_rows / n * (1 << 30)))
+    model = fit(slim.join(F.broadcast(known), "id"), "text", "toxic", sample_rows)
     out = with_toxicity(slim.select("id", held_out("id").alias("held_out"), "text"), model)
     listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.select(F.col("id").alias(id_col), "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"), listed.alias("spans"))
