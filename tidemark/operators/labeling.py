@@ -143,17 +143,43 @@ def match_captions(captions: DataFrame, rows: DataFrame, session: str, order: li
     w = Window.partitionBy(session).orderBy(*caption_order)
     found = found.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
     last = found.where("_last").select(session, F.col("end_index").alias("_end"), F.col("_n").alias("_size"))
-    covered = found.join(last, session).where(F.col("end_index") > F.col("_end")).select(session, F.explode(F.sequence(F.greatest("start_index", F.col("_end") + 1), F.col("end_index"))).alias("i")).distinct().groupBy(session).agg(F.count("*").alias("_covered"))
+    # ranges beyond that end, by their beginnings: each covers what lies behind the farthest end before it
+    low, by_begin = F.greatest(F.col("start_index"), F.col("_end") + 1), Window.partitionBy(session).orderBy("_low", "end_index")
+    beyond = found.join(last, session).where(F.col("end_index") > F.col("_end")).withColumn("_low", low)
+    reach = F.coalesce(F.max("end_index").over(by_begin.rowsBetween(Window.unboundedPreceding, -1)), F.col("_end"))
+    covered = beyond.withColumn("_new", F.greatest(F.lit(0), F.col("end_index") - F.greatest(F.col("_low") - 1, reach))).groupBy(session).agg(F.sum("_new").alias("_covered"))
     free = last.join(covered, session, "left").select(session, (F.col("_size") - 1 - F.col("_end") - F.coalesce("_covered", F.lit(0))).cast("int").alias("_free"))
     found = found.join(free, session)
     grows = F.col("_last") & (F.col("_free") > 0)
     return found.withColumn("n_rows", F.when(grows, F.col("n_rows") + F.col("_free")).otherwise(F.col("n_rows"))).withColumn("end_index", F.when(grows, F.col("_n").cast("int") - 1).otherwise(F.col("end_index"))).drop("_n", "_last", "_free")
 
 
-def matched_rows(matches: DataFrame, rows: DataFrame, session: str, order: list[str], take: list[str]) -> DataFrame:
+def matched_ends(matches: DataFrame, rows: DataFrame, session: str, order: list[str], take: list[str]) -> DataFrame:
+    """Captions with the columns ``take`` of the first and the last row of their range, as ``first_...`` and ``last_...``.
+
+    A caption looks up two rows, however many it covers: their number is the
+    difference of its indices, and rows of a session are in order of time.
+    """
+    at = F.row_number().over(Window.partitionBy(session).orderBy(*order)) - 1
+    numbered = rows.select(session, at.alias("_at"), *take)
+    ends = lambda end: numbered.select(session, F.col("_at").alias(f"{end}_index"), *(F.col(c).alias(f"{'first' if end == 'start' else 'last'}_{c}") for c in take))
+    return matches.join(ends("start"), [session, "start_index"]).join(ends("end"), [session, "end_index"])
+
+
+def matched_rows(matches: DataFrame, rows: DataFrame, session: str, order: list[str], take: list[str], block: int = 1024) -> DataFrame:
     """Every row that a caption's index range covers: the caption's columns, ``row_index`` and the row's columns ``take``.
 
-    The range is unrolled and looked up by index, so the join has equal keys.
+    Ranges and rows meet by blocks of ``block`` rows: a caption is sent to the
+    blocks that it touches, and there compared with their rows. Where only the
+    ends of a range count, ``matched_ends`` makes no such rows.
     """
-    numbered = rows.withColumn("row_index", F.row_number().over(Window.partitionBy(session).orderBy(*order)) - 1).select(session, "row_index", *take)
-    return matches.withColumn("row_index", F.explode(F.sequence("start_index", "end_index"))).join(numbered, [session, "row_index"])
+    at = F.row_number().over(Window.partitionBy(session).orderBy(*order)) - 1
+    numbered = rows.withColumn("row_index", at).select(session, "row_index", *take).withColumn("_block", F.floor(F.col("row_index") / block))
+    blocks = F.sequence(F.floor(F.col("start_index") / block), F.floor(F.col("end_index") / block))
+    met = matches.withColumn("_block", F.explode(blocks)).join(numbered, [session, "_block"])
+    return met.where(F.col("row_index").between(F.col("start_index"), F.col("end_index"))).drop("_block")
+
+
+def captions_of_sessions(captions: DataFrame, session: str) -> DataFrame:
+    """How many captions each session has: ``session``, ``n_captions``."""
+    return captions.groupBy(session).agg(F.count("*").alias("n_captions"))

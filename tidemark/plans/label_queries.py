@@ -247,8 +247,25 @@ def caption_tail_attach(spark, sf_dir) -> DataFrame:
 def caption_match(spark, sf_dir) -> DataFrame:
     rows = _caption_rows(spark, sf_dir)
     found = labeling.match_captions(captions(spark, sf_dir), rows, "session_id", ["ts", "event_id"], ["start_seconds", "turn"], attach_tail=False)
-    covered = labeling.matched_rows(found, rows, "session_id", ["ts", "event_id"], ["event_id", "ts"])
-    return covered.groupBy("session_id", "turn").agg(F.count("*").alias("num_aggregations"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min_by("event_id", "row_index").alias("img"))
+    ends = labeling.matched_ends(found, rows, "session_id", ["ts", "event_id"], ["event_id", "ts"])
+    return ends.select("session_id", "turn", F.col("n_rows").cast("bigint").alias("num_aggregations"), F.col("first_ts").alias("start_ts"), F.col("last_ts").alias("end_ts"), F.col("first_event_id").alias("img"))
+
+
+@query(
+    "caption_rows",
+    f"""WITH {ROWS_SQL} SELECT m.session_id, turn, r.event_id, CAST(r.i AS INTEGER) AS row_index
+        FROM mb m JOIN rn r ON m.session_id = r.session_id AND r.i BETWEEN m.start_index AND m.end_index""",
+)
+def caption_rows(spark, sf_dir) -> DataFrame:
+    """Every event that each caption covers."""
+    rows = _caption_rows(spark, sf_dir)
+    found = labeling.match_captions(captions(spark, sf_dir), rows, "session_id", ["ts", "event_id"], ["start_seconds", "turn"], attach_tail=False)
+    return labeling.matched_rows(found, rows, "session_id", ["ts", "event_id"], ["event_id"]).select("session_id", "turn", "event_id", F.col("row_index").cast("int").alias("row_index"))
+
+
+@query("captions_per_session", f"WITH {CAPTIONS_SQL} SELECT session_id, count(*) AS n_captions FROM cap GROUP BY session_id")
+def captions_per_session(spark, sf_dir) -> DataFrame:
+    return labeling.captions_of_sessions(captions(spark, sf_dir), "session_id")
 
 
 @query(

@@ -12,7 +12,7 @@ from tidemark.plans.mapping import BURSTS_SQL, CAPTIONS_SQL, DAY, EVENTS_SQL, FR
 from tidemark.plans.record_queries import BOUNDS_SQL
 from tidemark.plans.registry import query
 from tidemark.schemas import AGGREGATION
-from tidemark.sources import logs, sessions, sinks
+from tidemark.sources import logs, sessions, sinks, store
 from tidemark.streaming import live
 
 COARSE_SQL = "CASE event_type WHEN 'mouse_down' THEN 'click' WHEN 'mouse_move' THEN 'move' WHEN 'mouse_scroll' THEN 'scroll' ELSE 'key' END"
@@ -44,7 +44,7 @@ def aggregation_log(spark, sf_dir) -> DataFrame:
 
 
 def _put(spark, paths: list[str]) -> None:
-    """Files of one byte: a few, for each nation and kind."""
+    """Files of one byte: a few, for each of the 25 nations, of which there are as many at any scale."""
     sc = spark.sparkContext
     for p in paths:
         at = sc._jvm.org.apache.hadoop.fs.Path(p)
@@ -57,7 +57,7 @@ def _folders(spark, sf_dir) -> str:
     """A folder for each nation, with some of the files that a session may have."""
     root = sinks.scratch(spark, "sessions") + "/rec"
     paths = []
-    for (n,) in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").limit(100).collect():
+    for (n,) in table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect():
         paths += [f"{root}/s{n}/screenshots/{n}.{i}5_reason_x.{'jpg' if i else 'PNG'}" for i in range(n % 4)]
         paths += [f"{root}/s{n}/{f}" for f, has in (("aggregations.jsonl", n % 3), ("data.jsonl", n % 5 == 0), (f"{n}.5.png", n % 7 == 0)) if has]
     _put(spark, paths)
@@ -82,7 +82,7 @@ def found_sessions(spark, sf_dir) -> DataFrame:
 def listed_screenshots(spark, sf_dir) -> DataFrame:
     """Pictures of one folder in the order of the times in their names; other files there don't count."""
     folder = sinks.scratch(spark, "shots") + "/screenshots"
-    keys = [n for (n,) in table(spark, sf_dir, "nation").select("n_nationkey").limit(100).collect()]
+    keys = [n for (n,) in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
     _put(spark, [f"{folder}/{n}.{i}5_reason_x.{'png' if i == 2 else 'jpg'}" for n in keys for i in (1, 2, 3)] + [f"{folder}/{n}.05.txt" for n in keys] + [f"{folder}/none.jpg"])
     return logs.list_screenshots(spark, folder).select("ts", "position")
 
@@ -115,10 +115,10 @@ def cached_hashes(spark, sf_dir) -> DataFrame:
 def chunk_results(spark, sf_dir) -> DataFrame:
     """Results kept by session and chunk; one chunk of each is written anew, the others stay."""
     rows = captions(spark, sf_dir).where("caption is not null").select("session_id", (F.col("turn") % 3).alias("chunk_index"), "turn", "caption")
-    path = sinks.scratch(spark, "chunks") + "/kept"
-    sinks.write_chunks(rows, path)
-    sinks.write_chunks(rows.where("chunk_index = 1").withColumn("caption", F.lit("again")), path)
-    return spark.read.schema(rows.schema).json(path).select("session_id", "chunk_index", "turn", "caption")
+    kept = store.ChunkStore(spark, sinks.scratch(spark, "chunks") + "/kept", ["session_id", "chunk_index"])
+    kept.upsert(rows)
+    kept.upsert(rows.where("chunk_index = 1").withColumn("caption", F.lit("again")))
+    return kept.read().select("session_id", "chunk_index", "turn", "caption")
 
 
 @query("kept_dataset", f"WITH {FRAMES_SQL} SELECT CASE WHEN hash % 5 = 0 THEN 'test' ELSE 'train' END AS split, session_id, count(*) AS n, max(path) AS last FROM fr GROUP BY ALL")

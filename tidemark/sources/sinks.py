@@ -24,8 +24,11 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_chunks(df: DataFrame, path: str) -> None:
-    """Keep chunk results by session and chunk; only the chunks at hand are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "chunk_index").json(path)
+    """Chunk results as one folder of JSON for each session and chunk, for readers that look them up by path; only the chunks at hand are replaced.
+
+    There are as many files as chunks. ``store.ChunkStore`` keeps results of any number of chunks in few files.
+    """
+    df.repartition("session_id", "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "chunk_index").json(path)
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
