@@ -93,3 +93,31 @@ def test_segments_and_window(spark):
     spans = live.segments(requests)
     assert sorted((r.burst_id, r.start_ts, r.end_ts) for r in spans.collect()) == [(1, 10, 20), (1, 20, 30), (2, 40, 40)]
     assert sorted((r.start_ts, r.end_ts) for r in live.seen(spans, 42, 20).collect()) == [(22, 30), (40, 40)]
+
+
+def test_many_held_links(spark, tmp_path):
+    """20,000 boundaries are held at once and come out in order when the watermark passes them; state rows written follow each batch."""
+    n = 20_000
+    ahead = [(0, "key", f"b{i}", "start", 10_000_000_000 + i * 1000, i) for i in range(n)]
+    random.Random(3).shuffle(ahead)
+    few = [[(0, "key", f"s{j}", "start", 1_000_000 * (j + 1), -j - 1)] for j in range(3)]
+    rows = [few[0], ahead, *few[1:], [(0, "key", "end", "end", 30_000_000_000, n)]]
+    schema = "session_id long, category string, burst_id string, request_state string, ts long, event_id long"
+    folder = tmp_path / "in"
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    live.with_rocksdb(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    # the watermark is so late that all are held until the last batch
+    query = live.stream_links(stream, "11000 seconds").writeStream.format("memory").queryName("held").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    got = [(r.ts, r.end_ts) for r in spark.table("held").collect()]
+    times = sorted(r[4] for part in rows for r in part)
+    assert got == list(zip(times, times[1:], strict=False))[: len(got)] and len(got) >= n
+    written = [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"] and p["numInputRows"] == 1]
+    assert written and min(written) < 50
+
+
+def test_readiness(spark):
+    rows = spark.createDataFrame([(1, True, None), (2, True, "a.jpg"), (3, False, None), (4, None, None)], "id int, needs_screenshot boolean, screenshot_path string")
+    assert {r.id: r.ready for r in live.ready_requests(rows).collect()} == {1: False, 2: True, 3: True, 4: True}

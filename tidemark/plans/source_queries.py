@@ -200,6 +200,7 @@ def streamed_links(spark, sf_dir) -> DataFrame:
 
     starts = bursts.summaries(bursts.with_bursts(events(spark, sf_dir), GAP_US))
     rows = starts.select("session_id", "category", F.col("burst_id").cast("string").alias("burst_id"), F.lit("start").alias("request_state"), F.col("start_ts").alias("ts"), F.col("first_event").alias("event_id"))
+    live.with_rocksdb(spark)
     emitted = _landed(spark, live.stream_links(_streamed(spark, rows, "requests")), "links")
     now = events(spark, sf_dir).agg(F.max("ts") + 1).first()[0]
     whole = emitted.select("session_id", "category", "ts", "event_id", "end_ts").unionByName(live.flushed_links(rows, emitted, now).select("session_id", "category", "ts", "event_id", "end_ts"))

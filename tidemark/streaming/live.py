@@ -7,9 +7,10 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.bursts import STALE, OpenBurst
 from tidemark.operators.temporal import link_next
@@ -78,32 +79,76 @@ def stream_boundaries(events: DataFrame, gaps: dict[str, int], totals: dict[str,
 LINKED = "session_id long, category string, burst_id string, request_state string, ts long, event_id long, end_ts long"
 
 
+def ready_requests(requests: DataFrame, needs_frame: str = "needs_screenshot", frame: str = "screenshot_path") -> DataFrame:
+    """``requests`` with ``ready``: whether a boundary that waits for its frame has it; one that needs none is ready."""
+    return requests.withColumn("ready", ~F.coalesce(F.col(needs_frame), F.lit(False)) | F.col(frame).isNotNull())
+
+
+class Links(StatefulProcessor):
+    """One session's boundaries on their way: ``held`` by steps of time, and the ``open`` one that waits for its next.
+
+    The first boundary of a step sets a timer at its end. Timers fire in order
+    of time, and one takes its own step's boundaries only: what is read and
+    written follows the boundaries that come and go, not those that are held.
+    """
+
+    STEP_MS = 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "ends_ms long", "boundaries string")
+        self.open = handle.getValueState("open", "category string, burst_id string, request_state string, ts long, event_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came: dict[int, list] = {}
+        for b in rows:
+            for c, burst, state, ts, event in b[["category", "burst_id", "request_state", "ts", "event_id"]].itertuples(index=False, name=None):
+                came.setdefault((int(ts) // (1000 * self.STEP_MS) + 1) * self.STEP_MS, []).append((int(ts), int(event), str(state), str(c), str(burst)))
+        for ms, new in came.items():
+            if self.held.containsKey((ms,)):
+                new += [tuple(x) for x in json.loads(self.held.getValue((ms,))[0])]
+            else:
+                self.handle.registerTimer(ms)
+            self.held.updateValue((ms,), (json.dumps(new),))
+        yield pd.DataFrame(columns=LINK_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ms, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        last = tuple(self.open.get()) if self.open.exists() else None
+        for ts, event, state, category, burst in sorted(map(tuple, json.loads(self.held.getValue((ms,))[0]))):
+            if last is not None:
+                out.append((key[0], *last, ts))
+            last = (category, burst, state, ts, event)
+        self.open.update(last)
+        self.held.removeKey((ms,))
+        yield pd.DataFrame(out, columns=LINK_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+LINK_COLUMNS = [c.split()[0] for c in LINKED.split(", ")]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_links(requests: DataFrame, late: str = EMISSION_DELAY) -> DataFrame:
     """A stream of boundaries, each with the time of the session's next one, emitted in order.
 
-    A boundary waits until the watermark, ``late`` behind, has passed it, so
-    that boundaries which arrive out of order still find their places, and
-    until a later one is there to link to.
+    A boundary takes its place once the watermark, ``late`` behind, has passed
+    it, so that boundaries which arrive out of order still find theirs; it is
+    emitted when the next one takes its own. With a column ``ready``, those
+    that aren't have no place yet: they come again when they are. The state is
+    kept in RocksDB, which a session's ``spark.sql.streaming.stateStore.providerClass``
+    has to name when the stream starts (``with_rocksdb``).
     """
-    columns = ["session_id", "category", "burst_id", "request_state", "ts", "event_id"]
+    rows = requests.where("ready") if "ready" in requests.columns else requests
+    timed = rows.withColumn("event_time", F.timestamp_micros("ts")).withWatermark("event_time", late)
+    return timed.groupBy("session_id").transformWithStateInPandas(Links(), LINKED, "append", "eventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
-        if not state.hasTimedOut:
-            rows = pd.concat(list(batches))[columns[1:]]
-            held += [(str(c), str(b), str(r), int(t), int(e)) for c, b, r, t, e in rows.itertuples(index=False, name=None)]
-        held.sort(key=lambda x: (x[3], x[4], x[2]))
-        safe, out = state.getCurrentWatermarkMs() * 1000, []
-        while len(held) > 1 and held[1][3] <= safe:
-            first = held.pop(0)
-            out.append((*key, *first, held[0][3]))
-        state.update((json.dumps(held),))
-        if len(held) > 1:
-            state.setTimeoutTimestamp(max(held[1][3] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[*columns, "end_ts"])
-
-    timed = requests.withColumn("event_time", F.timestamp_micros("ts")).withWatermark("event_time", late)
-    return timed.groupBy("session_id").applyInPandasWithState(step, LINKED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """Let streams that start from now on keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def flushed_links(requests: DataFrame, emitted: DataFrame, now_us: int) -> DataFrame:
