@@ -150,3 +150,56 @@ def test_query_against_every_template(spark, tmp_path):
             if r.license is not None:
                 assert r.coverage >= 0.6 and 0 <= r.start < r.stop <= len(text)
     assert not [r for i in range(4) for r in found[i] if r.license is not None]
+
+
+def dense(template: list[int], text: list[int | None], start: int, band: int) -> tuple[int, int, int, int, int, int] | None:
+    """Every cell of the band: the best local alignment of a template around one diagonal: (score, matched words, first, end) in the text, (first, end) in the template.
+
+    ``start`` is where the template's first word falls in the text; an
+    alignment may stray ``band`` words from that diagonal. A match scores 1, a
+    mismatch or a gap -1. Equal scores go to the one that ends first.
+    """
+    width = 2 * band + 1
+    score, matched, begun = [0] * width, [0] * width, [(0, 0)] * width
+    best = (0, 0, 0, 0, 0, 0)
+    for i, word in enumerate(template):
+        new_score, new_matched, new_begun = [0] * width, [0] * width, [(0, 0)] * width
+        for c in range(width):
+            j = start + i + c - band
+            if not 0 <= j < len(text):
+                continue
+            same = text[j] == word
+            options = [(score[c] + (1 if same else -1), matched[c] + same, begun[c] if score[c] > 0 else (j, i))]
+            if c + 1 < width:
+                options.append((score[c + 1] - 1, matched[c + 1], begun[c + 1]))
+            if c:
+                options.append((new_score[c - 1] - 1, new_matched[c - 1], new_begun[c - 1]))
+            top = max(options, key=lambda o: (o[0], o[1]))
+            if top[0] > 0:
+                new_score[c], new_matched[c], new_begun[c] = top
+                if top[0] > best[0]:
+                    best = (top[0], top[1], top[2][0], j + 1, top[2][1], i + 1)
+        score, matched, begun = new_score, new_matched, new_begun
+    return best if best[0] else None
+
+
+
+def test_alignment_against_every_cell():
+    rng = random.Random(5)
+    for _ in range(400):
+        size, band = rng.choice([3, 8, 40]), rng.choice([1, 2, 5])
+        template = [rng.randrange(size) for _ in range(rng.randint(1, 40))]
+        text = [x for w in template for x in rng.choice([[w], [w], [w], [], [w, rng.randrange(size)], [None]])] if rng.random() < 0.6 else [rng.choice([None, *range(size)]) for _ in range(rng.randint(0, 50))]
+        text = [None] * rng.randint(0, 3) + text
+        start = rng.randint(-5, 8)
+        assert licenses.align(template, text, start, band) == dense(template, text, start, band)
+
+
+def test_a_whole_long_license_takes_little_time():
+    import time
+
+    index = licenses.Index(licenses.TEMPLATES)
+    text = max(licenses.TEMPLATES.values(), key=len)
+    began = time.process_time()
+    found = licenses.scan("Some words before. " + text, index)
+    assert len(found) >= 1 and time.process_time() - began < 8

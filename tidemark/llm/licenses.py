@@ -104,27 +104,36 @@ def align(template: list[int], text: list[int | None], start: int, band: int) ->
     alignment may stray ``band`` words from that diagonal. A match scores 1, a
     mismatch or a gap -1. Equal scores go to the one that ends first.
     """
-    width = 2 * band + 1
-    score, matched, begun = [0] * width, [0] * width, [(0, 0)] * width
+    # of a row only the cells above 0: most words of a text have no match near the diagonal, and their rows are empty
+    row: dict[int, tuple[int, int, tuple[int, int]]] = {}
     best = (0, 0, 0, 0, 0, 0)
     for i, word in enumerate(template):
-        new_score, new_matched, new_begun = [0] * width, [0] * width, [(0, 0)] * width
-        for c in range(width):
-            j = start + i + c - band
-            if not 0 <= j < len(text):
-                continue
-            same = text[j] == word
-            options = [(score[c] + (1 if same else -1), matched[c] + same, begun[c] if score[c] > 0 else (j, i))]
-            if c + 1 < width:
-                options.append((score[c + 1] - 1, matched[c + 1], begun[c + 1]))
-            if c:
-                options.append((new_score[c - 1] - 1, new_matched[c - 1], new_begun[c - 1]))
-            top = max(options, key=lambda o: (o[0], o[1]))
-            if top[0] > 0:
-                new_score[c], new_matched[c], new_begun[c] = top
-                if top[0] > best[0]:
-                    best = (top[0], top[1], top[2][0], j + 1, top[2][1], i + 1)
-        score, matched, begun = new_score, new_matched, new_begun
+        low = start + i - band
+        window = text[max(low, 0) : max(low + 2 * band + 1, 0)]
+        hits = {c for c, w in enumerate(window, max(low, 0) - low) if w == word} if word in window else ()
+        if not row and not hits:
+            continue
+        new: dict[int, tuple[int, int, tuple[int, int]]] = {}
+        edge = len(text) - low
+        for c in sorted({*hits, *row, *(c - 1 for c in row)}):
+            while True:
+                if 0 <= c <= 2 * band and 0 <= low + c and c < edge:
+                    same = c in hits
+                    score, matched, begun = row.get(c, (0, 0, None))
+                    top = (score + (1 if same else -1), matched + same, begun or (low + c, i))
+                    if c + 1 in row and (row[c + 1][0] - 1, row[c + 1][1]) > top[:2]:
+                        top = (row[c + 1][0] - 1, *row[c + 1][1:])
+                    if c - 1 in new and (new[c - 1][0] - 1, new[c - 1][1]) > top[:2]:
+                        top = (new[c - 1][0] - 1, *new[c - 1][1:])
+                    if top[0] > 0:
+                        new[c] = top
+                        if top[0] > best[0]:
+                            best = (top[0], top[1], top[2][0], low + c + 1, top[2][1], i + 1)
+                # a gap may go on to the right of what is looked at anyway
+                if c not in new or new[c][0] < 2 or c + 1 > 2 * band or c + 1 in row or c + 1 in hits or c + 2 in row:
+                    break
+                c += 1
+        row = new
     return best if best[0] else None
 
 
@@ -140,7 +149,8 @@ def scan(text: str, index: Index, least_coverage: float = 0.6, band: int = 8) ->
     the one with the highest alignment score stays, then the better covered.
     """
     k = index.k
-    numbers = list(map(index.vocabulary.get, words(text)))
+    found_words = list(WORD.finditer(_lowered(text)))
+    numbers = [index.vocabulary.get(m[0]) for m in found_words]
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     known = 0
     for at, n in enumerate(numbers):
@@ -164,7 +174,7 @@ def scan(text: str, index: Index, least_coverage: float = 0.6, band: int = 8) ->
             kept.insert(at, f)
     if not kept:
         return []
-    spans = [m.span() for m in WORD.finditer(_lowered(text))]
+    spans = [m.span() for m in found_words]
     out = [{"license": index.names[t], "coverage": -c, "matched": m, "start": spans[a][0], "stop": spans[b - 1][1]} for _, c, t, m, a, b in kept]
     return sorted(out, key=lambda d: d["start"])
 
