@@ -203,3 +203,14 @@ def test_a_whole_long_license_takes_little_time():
     began = time.process_time()
     found = licenses.scan("Some words before. " + text, index)
     assert len(found) >= 1 and time.process_time() - began < 8
+
+
+def test_templates_are_found_in_an_archive(tmp_path):
+    import subprocess
+    import sys
+
+    from tidemark import ship
+
+    at = ship.archive(tmp_path / "tidemark.zip")
+    run = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {str(at)!r}); from tidemark.llm import licenses; print(licenses.__file__, len(licenses.TEMPLATES))"], cwd=tmp_path, capture_output=True, text=True)
+    assert "tidemark.zip" in run.stdout and run.stdout.split()[-1] == str(len(licenses.TEMPLATES)), run.stderr[-500:]

@@ -6,7 +6,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from pathlib import Path
+from importlib.resources import files
 
 import pyarrow as pa
 import xxhash
@@ -54,7 +54,7 @@ TEMPLATES |= {
     "MIT full": f"{TEMPLATES['MIT']} {_MIT_END}",
     "Unlicense full": f"{TEMPLATES['Unlicense']} {_UNLICENSE_END}",
 }
-TEMPLATES |= {f.stem: f.read_text("utf-8") for f in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 #: Of a template of over 128 words, the share of its fingerprints that a text must hold to be aligned with it.
 LEAST_HITS = 0.1
