@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import function_queries, label_queries, record_queries, source_queries  # noqa: F401
+from tidemark.plans import function_queries, label_queries, log_queries, record_queries, source_queries  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

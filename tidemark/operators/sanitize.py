@@ -47,3 +47,8 @@ def counts(records: DataFrame, events: DataFrame, session: str, frame: str, path
     out = records.groupBy(session).agg(F.count("*").alias("n_records"), F.count(F.when(F.col(frame).isNotNull() & F.col(path).isNotNull(), 1)).alias("n_valid"))
     out = out.join(events.groupBy(session).agg(F.count("*").alias("n_events")), session, "full").join(given, session, "left").join(outside, session, "left")
     return out.fillna(0, ["n_records", "n_valid", "n_events", "n_assigned", "n_outside"])
+
+
+def totals_of(events: DataFrame, by: list[str], order: list[str], cursor: str) -> DataFrame:
+    """For each aggregation its number of events, and its first event's ``cursor``."""
+    return events.groupBy(*by).agg(F.count("*").alias("num_events"), F.min_by(cursor, F.struct(*order)).alias(cursor))

@@ -159,3 +159,10 @@ def active_bursts(boundaries: DataFrame, by: list[str], now: int, ts: str = "ts"
     """How many bursts of each ``by`` are open at a time: starts up to ``now`` less ends up to it."""
     step = F.when(F.col(state) == "start", 1).when(F.col(state) == "end", -1).otherwise(0)
     return boundaries.where(F.col(ts) <= now).groupBy(*by).agg(F.sum(step).alias("n_active"))
+
+
+def burst_for(probes: DataFrame, ids: DataFrame, session: str, category: str, ts: str, latest_ts: str) -> DataFrame:
+    """``probes`` with ``burst_id``: of the burst of their category last begun at ``ts``; without one, of the session's latest at ``latest_ts``."""
+    own = asof(probes, ids.select(session, category, "start_ts", F.col("burst_id").alias("_own")), [session, category], ts, "start_ts", ["_own"], tie="_own")
+    every = asof(own, ids.select(session, "start_ts", F.col("burst_id").alias("_any")), [session], latest_ts, "start_ts", ["_any"], tie="_any")
+    return every.withColumn("burst_id", F.coalesce("_own", "_any")).drop("_own", "_any")
