@@ -220,3 +220,18 @@ def test_query(spark):
     empty = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
     out = {r.conv_id: tuple(r)[1:] for r in QUERIES["op11_repair"](spark, folder).collect()}
     assert out == {r[0]: want.get(r[0], empty) for r in rows}
+
+
+def test_query_against_sql():
+    import duckdb
+
+    from tidemark.llm.queries import ORACLES
+
+    empty = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    for seed in (1, 2):
+        rows = talks(150, seed)
+        con = duckdb.connect()
+        con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        want = plain(plain_damaged(rows))
+        assert {r[0]: r[1:] for r in con.execute(ORACLES["op11_repair"]).fetchall()} == {r[0]: want.get(r[0], empty) for r in rows}

@@ -204,7 +204,69 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.explode_outer("licenses").alias("l")).select("doc_id", "n_licenses", "l.*")
 
 
-@query("op11_repair")
+REPAIR_SQL = r"""
+    WITH RECURSIVE said AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes
+        FROM conversations),
+    hit AS (
+        SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, b:
+                   list_reduce(list_concat([xor(c, b)], [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END)), 4294967295::BIGINT) % 20 AS kind
+        FROM said),
+    damaged AS (
+        SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+        FROM hit WHERE kind <> 0),
+    ordered AS (
+        SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS g, turn, role, text, left(role, 1) AS ini,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+               count(*) OVER (PARTITION BY conv_id) AS n
+        FROM damaged),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY i) AS seen FROM ordered),
+    f AS (
+        SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+                       WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+               lag(ini) OVER (PARTITION BY g ORDER BY i) AS ini_before
+        FROM seen),
+    sizes AS (SELECT g, any_value(n) AS n FROM f GROUP BY g),
+    back AS (
+        SELECT g, n AS i, [0::BIGINT, 4, 2, 0] AS v FROM sizes
+        UNION ALL
+        SELECT g, i - 1, [least(b[1], 2 + b[3], 4 + b[4]), least(b[2], 2 + b[3], 4 + b[4]), least(b[3], 2 + b[4]), least(b[4], 2 + b[3])]
+        FROM (SELECT b.g, b.i, list_transform([1, 2, 3, 4], lambda q: least(3 + v[q], CASE WHEN fault IN (1, 2) THEN 1000000000 ELSE
+                         CAST(fault = 3 AS INTEGER) + least(2 + v[CASE q WHEN 3 THEN 4 ELSE 3 END],
+                             CASE WHEN ini = 's' AND q = 1 THEN v[2] WHEN ini = 'u' AND q <> 3 THEN v[3] WHEN ini = 'a' AND q = 3 THEN v[4] ELSE 1000000000 END) END)) AS b
+              FROM back b JOIN f ON f.g = b.g AND f.i = b.i)),
+    walk AS (
+        SELECT g, n, 0::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS lines FROM sizes
+        UNION ALL
+        SELECT g, n, CASE label WHEN 'I' THEN i ELSE i + 1 END, CASE label WHEN 'D' THEN q WHEN 'K' THEN kept ELSE given END, audit || label,
+               CASE label WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+                    ELSE list_append(lines, CASE given WHEN 4 THEN 'assistant:' ELSE 'user:' END || CASE label WHEN 'I' THEN '' ELSE text END) END
+        FROM (SELECT w.*, f.role, f.text, given, kept,
+                     CASE WHEN f.i IS NOT NULL AND 3 + z.v[q] = b.v[q] THEN 'D' WHEN 2 + b.v[given] = b.v[q] THEN 'I'
+                          WHEN kept IS NOT NULL AND CAST(f.fault = 3 AS INTEGER) + z.v[kept] = b.v[q] THEN 'K' ELSE 'R' END AS label
+              FROM walk w JOIN back b ON b.g = w.g AND b.i = w.i
+              LEFT JOIN back z ON z.g = w.g AND z.i = w.i + 1
+              LEFT JOIN f ON f.g = w.g AND f.i = w.i + 1,
+              LATERAL (SELECT CASE q WHEN 3 THEN 4 ELSE 3 END AS given,
+                              CASE WHEN f.fault IN (1, 2) THEN NULL WHEN f.ini = 's' AND q = 1 THEN 2 WHEN f.ini = 'u' AND q <> 3 THEN 3 WHEN f.ini = 'a' AND q = 3 THEN 4 END AS kept)
+              WHERE NOT (w.i = w.n AND q IN (1, 4)))),
+    repaired AS (SELECT g, audit, lines FROM walk WHERE i = n AND q IN (1, 4)),
+    counted AS (
+        SELECT conv_id, g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+               count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+               count(*) FILTER (WHERE ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM f GROUP BY ALL)
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+           coalesce(illegal, 0) AS illegal, coalesce(v[1], 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN repaired r ON r.g = c.g LEFT JOIN back b ON b.g = c.g AND b.i = 0
+"""
+
+
+@query("op11_repair", REPAIR_SQL)
 def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = table(spark, sf_dir, "conversations")
     done = repair.repaired(repair.damaged(talks))
