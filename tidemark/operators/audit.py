@@ -47,3 +47,8 @@ def inner_events(records: DataFrame, session: str = "session_id") -> DataFrame:
     """Times of the events inside records by category: ``category``, ``timestamp``, with their key in microseconds."""
     rows = records.select(session, F.explode("events").alias("e")).select(session, category(F.col("e.event_type")).alias("category"), F.col("e.timestamp").alias("timestamp"))
     return rows.where("category is not null and timestamp is not null").withColumn("key", F.bround(F.col("timestamp") * 1_000_000).cast("bigint"))
+
+
+def shown(orphans: DataFrame, order: list[str], most: int = 10) -> DataFrame:
+    """The first ``most`` orphans in order: what a report shows of them."""
+    return orphans.orderBy(*order).limit(most)

@@ -166,3 +166,11 @@ def burst_for(probes: DataFrame, ids: DataFrame, session: str, category: str, ts
     own = asof(probes, ids.select(session, category, "start_ts", F.col("burst_id").alias("_own")), [session, category], ts, "start_ts", ["_own"], tie="_own")
     every = asof(own, ids.select(session, "start_ts", F.col("burst_id").alias("_any")), [session], latest_ts, "start_ts", ["_any"], tie="_any")
     return every.withColumn("burst_id", F.coalesce("_own", "_any")).drop("_own", "_any")
+
+
+def segment_chunks(rows: DataFrame, by: list[str], position: str, segment: str, size: int, fps: int = 1) -> DataFrame:
+    """Chunks of ``size`` frames within segments, numbered (from 0) through the ``by``: ``chunk_index``, ``n_frames``, and ``start_seconds``, the frames before it at ``fps`` a second."""
+    sizes = chunks(rows, [*by, segment], [position], size, "_part").groupBy(*by, segment, "_part").agg(F.count("*").alias("n_frames"))
+    w = Window.partitionBy(*by).orderBy(segment, "_part")
+    before = F.coalesce(F.sum("n_frames").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.select(*by, (F.row_number().over(w) - 1).alias("chunk_index"), "n_frames", (before if fps == 1 else before / fps).alias("start_seconds"))

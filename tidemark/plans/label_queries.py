@@ -66,13 +66,9 @@ def chunk_rows_in_parts(spark, sf_dir) -> DataFrame:
 )
 def chunk_frames(spark, sf_dir) -> DataFrame:
     """Chunks of four frames within segments, numbered through the session; a frame is a second."""
-    from pyspark.sql import Window
-
     rows = tasks.numbered(frames(spark, sf_dir), ["session_id"], ["frame_ts", "frame_id"], "pos")
     rows = temporal.split_frames(rows, ["session_id"], "pos", "frame_ts", 5 * DAY)
-    sizes = temporal.chunks(rows, ["session_id", "segment"], ["pos"], 4, "part").groupBy("session_id", "segment", "part").agg(F.count("*").alias("n_frames"))
-    w = Window.partitionBy("session_id").orderBy("segment", "part")
-    return sizes.select("session_id", (F.row_number().over(w) - 1).alias("chunk_index"), "n_frames", (F.sum("n_frames").over(w) - F.col("n_frames")).alias("start_seconds"))
+    return temporal.segment_chunks(rows, ["session_id"], "pos", "segment", 4)
 
 
 RUNS_SQL = EVENTS_SQL + """,

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import bursts, dataset, models, sanitize, tasks, temporal
+from tidemark.operators import audit, bursts, dataset, models, sanitize, tasks, temporal
 from tidemark.plans.label_queries import STAMPED
 from tidemark.plans.mapping import BURSTS_SQL, CAPTIONS_SQL, DAY, EVENTS_SQL, FRAMES_SQL, GAP_US, TOTALS_US, captions, events, frames
-from tidemark.plans.record_queries import BOUNDS_SQL
+from tidemark.plans.record_queries import BOUNDS_SQL, CAPTURED_SQL, orphan_events
 from tidemark.plans.registry import query
 from tidemark.sources import logs, sinks
 
@@ -103,3 +103,9 @@ def boundary_times(spark, sf_dir) -> DataFrame:
     """A boundary's own time: its frame's, else the one in its path, else its event's."""
     rows = events(spark, sf_dir)
     return rows.select("event_id", sanitize.frame_ts(F.when(F.col("k") % 3 == 0, F.col("ts") + 75_000), F.when(F.col("k") % 3 == 1, F.col("ts") + 1), F.col("ts")).alias("frame_ts"))
+
+
+@query("orphans_shown", f"WITH {CAPTURED_SQL} SELECT event_id, ts FROM ev ANTI JOIN caught USING (session_id, ts) ORDER BY ts, event_id LIMIT 10")
+def orphans_shown(spark, sf_dir) -> DataFrame:
+    """The first ten events that no aggregation holds."""
+    return audit.shown(orphan_events(spark, sf_dir), ["ts", "event_id"])
