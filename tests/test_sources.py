@@ -89,3 +89,35 @@ def test_pictures_are_needed(spark):
     with pytest.raises(ValueError):
         logs.rows_with_pictures(rows)
     assert "path" in SCREENSHOT
+
+
+def test_large_hash_cache_is_split(spark, tmp_path):
+    """One document of 60,000 entries is read by several tasks; keys with quotes, backslashes and other letters; odd documents are parsed whole."""
+    import json
+
+    entries = {f'd/{i}/"q"\\{chr(228 + i % 3)}.jpg': {"hash_int": (i * 0x9E3779B97F4A7C15) % 2**64} for i in range(60_000)}
+    want = {(k, v["hash_int"] - (1 << 64 if v["hash_int"] >= 1 << 63 else 0)) for k, v in entries.items()}
+    for name, text in (("a", json.dumps({"entries": entries})), ("b", json.dumps({"entries": entries}, indent=1))):
+        (tmp_path / f"{name}.json").write_text(text)
+        own = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+        try:
+            out = logs.read_hashes(spark, str(tmp_path / f"{name}.json"))
+            assert out.rdd.getNumPartitions() > 4 and {tuple(r) for r in out.collect()} == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", own)
+    odd = {"entries": {"a}b": {"hash_int": 1}, "c": {"hash_int": 2**64 - 1}}}
+    for name, doc, rows in (("odd", odd, {("a}b", 1), ("c", -1)}), ("more", {"v": 1, **odd}, {("a}b", 1), ("c", -1)}), ("none", {"entries": {}}, set())):
+        (tmp_path / name).write_text(json.dumps(doc))
+        assert {tuple(r) for r in logs.read_hashes(spark, str(tmp_path / name)).collect()} == rows
+
+
+def test_hash_cache_written_entry_by_entry(spark, tmp_path):
+    import json
+
+    keys = ["a/b", 'q"]: {x', "ä\\n", "}"]
+    rows = spark.createDataFrame([(k, str(i + 2**63)) for i, k in enumerate(keys)] + [(None, "1"), ("n", None)], "key string, hash_int string")
+    sinks.write_hashes(rows.repartition(3), str(tmp_path / "c"))
+    docs = [json.loads(p.read_text()) for p in (tmp_path / "c").glob("part-*")]
+    assert {k: v["hash_int"] for d in docs for k, v in d["entries"].items()} == {k: i + 2**63 for i, k in enumerate(keys)}
+    assert {r.key: r.hash for r in logs.read_hashes(spark, str(tmp_path / "c")).collect()} == {k: i - 2**63 for i, k in enumerate(keys)}

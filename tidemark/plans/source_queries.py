@@ -100,13 +100,11 @@ def resolved_pictures(spark, sf_dir) -> DataFrame:
 
 @query("cached_hashes", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN -CAST(s_suppkey AS BIGINT) ELSE CAST(s_suppkey AS BIGINT) END ELSE 0 END AS hash FROM supplier")
 def cached_hashes(spark, sf_dir) -> DataFrame:
-    """A cache of unsigned hashes written as one JSON document, read as longs of the same bits, and looked up by the end of a path."""
+    """A cache of unsigned hashes written as JSON documents, read as longs of the same bits, and looked up by the end of a path."""
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("a/b/"), F.col("s_suppkey").cast("string"), F.lit(".jpg")).alias("key"))
     value = F.when(F.col("s_suppkey") % 2 == 0, F.lit(str(2**64)).cast("decimal(20,0)") - F.col("s_suppkey")).otherwise(F.col("s_suppkey").cast("decimal(20,0)"))
-    entry = F.struct("key", F.struct(value.cast("decimal(20,0)").alias("hash_int")).alias("value"))
     path = sinks.scratch(spark, "hashes") + "/cache"
-    cache = rows.where(F.col("s_suppkey") % 4 != 0).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("entries"))).alias("value"))
-    cache.coalesce(1).write.text(path)
+    sinks.write_hashes(rows.where(F.col("s_suppkey") % 4 != 0).select("key", value.alias("hash_int")), path)
     found = dedupe.with_hashes(rows.withColumn("path", F.concat(F.lit("/x/y/"), "key")), logs.read_hashes(spark, path), "path")
     return found.select("s_suppkey", F.coalesce("hash", F.lit(0)).alias("hash"))
 

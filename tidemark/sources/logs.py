@@ -97,8 +97,24 @@ def rows_with_pictures(matched: DataFrame) -> DataFrame:
     return rows
 
 
+#: A piece of a hash cache up to a closing brace: an entry, with what opens the document before it; or nothing; or the opening alone.
+CACHE_ENTRY = r'^\s*(?:\{\s*"entries"\s*:\s*\{|,)?\s*"((?:[^"\\]++|\\.)*+)"\s*:\s*\{\s*"hash_int"\s*:\s*([0-9]+)\s*$'
+CACHE_REST = r'^\s*(?:\{\s*"entries"\s*:\s*\{\s*)?$'
+
+
 def read_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """The hash cache as ``key``, ``hash``: unsigned hashes as longs of the same bits."""
+    """The hash cache as ``key``, ``hash``: unsigned hashes as longs of the same bits. ``path`` is a document or a folder of them.
+
+    A document is read in pieces that end at its closing braces, so a large one
+    is split over tasks and none holds it whole. Where a piece isn't just an
+    entry (a brace in a key, other fields), the documents are parsed whole.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path)
+    entry = F.regexp_extract("value", CACHE_ENTRY, 2)
+    odd = pieces.where(~F.col("value").rlike(CACHE_ENTRY) & ~F.col("value").rlike(CACHE_REST))
+    if not odd.limit(1).count():
+        key = F.from_json(F.concat(F.lit('["'), F.regexp_extract("value", CACHE_ENTRY, 1), F.lit('"]')), "array<string>")[0]
+        return pieces.where(entry != "").select(key.alias("key"), unsigned_to_signed(entry.cast("decimal(20,0)")).alias("hash"))
     text = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", "entries map<string, struct<hash_int: decimal(20,0)>>")["entries"]
     return text.select(F.explode(entries).alias("key", "entry")).select("key", unsigned_to_signed(F.col("entry.hash_int")).alias("hash"))

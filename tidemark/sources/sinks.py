@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,6 +32,26 @@ def write_chunks(df: DataFrame, path: str) -> None:
     df.repartition("session_id", "chunk_index").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "chunk_index").json(path)
 
 
+def write_hashes(hashes: DataFrame, path: str, key: str = "key", value: str = "hash_int") -> None:
+    """A hash cache (``value``: unsigned hashes) as a folder of JSON documents, one for each task, entry by entry: no task holds its document."""
+    entry = F.concat(F.to_json(F.array(F.col(key).cast("string"))), F.lit(": "), F.to_json(F.struct(F.col(value).cast("decimal(20,0)").alias("hash_int"))))
+    lines = hashes.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(entry.alias("value"))
+
+    def document(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        comma = ""
+        yield pd.DataFrame({"value": ['{"entries": {']})
+        for b in batches:
+            out = []
+            for text in b["value"]:  # ["key"]: {...}
+                at = text.rindex("]: {")
+                out.append(comma + text[1:at] + text[at + 1 :])
+                comma = ","
+            yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"value": ["}}"]})
+
+    lines.mapInPandas(document, "value string").write.mode("overwrite").text(path)
+
+
 def write_dataset(df: DataFrame, path: str) -> None:
     """A dataset by split."""
     df.write.mode("overwrite").partitionBy("split").parquet(path)
