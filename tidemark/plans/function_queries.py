@@ -117,9 +117,23 @@ def cursor_movements(spark, sf_dir) -> DataFrame:
     return moved.select("event_id", F.get("start", F.lit(0)).alias("from_x"), F.get("end", F.lit(0)).alias("to_x"))
 
 
-@query("carried_cursor")
+@query(
+    "carried_cursor",
+    f"""WITH RECURSIVE {EVENTS_SQL},
+        acted AS (SELECT session_id, ts // {DAY} AS day, {{'k': k, 'm': CASE monitor_index WHEN 0 THEN 0 ELSE 1 END}} AS e, ts, event_id FROM ev),
+        days AS (SELECT session_id, day, list(e ORDER BY ts, event_id) AS own, row_number() OVER (PARTITION BY session_id ORDER BY day) AS nth FROM acted GROUP BY session_id, day),
+        fold AS (
+            SELECT session_id, day, nth, own AS events, own[1].m AS mon FROM days WHERE nth = 1
+            UNION ALL
+            SELECT d.session_id, d.day, d.nth, list_concat(CASE WHEN coalesce(third, 0) = 0 THEN off ELSE off[1:third - 1] END, d.own), d.own[1].m
+            FROM (SELECT *, list_position(list_transform(off, lambda x: x.m <> off[1].m), true) AS third
+                  FROM (SELECT *, list_filter(events[2:], lambda x: NOT CASE mon WHEN 0 THEN x.k * 17 < 1000 AND x.k * 7 < 500
+                                  ELSE x.k * 17 BETWEEN 1000 AND 1639 AND x.k * 7 BETWEEN 100 AND 579 END) AS off FROM fold)) f
+            JOIN days d ON d.session_id = f.session_id AND d.nth = f.nth + 1)
+        SELECT session_id, day, CAST(len(events) AS INTEGER) AS n_events FROM fold""",
+)
 def carried_cursor(spark, sf_dir) -> DataFrame:
-    """Cursor paths that leave a frame's monitor go on in the next frame: a fold from frame to frame, tested on its own."""
+    """Cursor paths that leave a frame's monitor go on in the next frame: a fold from frame to frame."""
     rows = _acted(spark, sf_dir).select("session_id", "event_id", "ts", F.floor(F.col("ts") / DAY).alias("day"), F.struct("cursor_position", "monitor").alias("e"), "monitor")
     days = rows.groupBy("session_id", "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "e"))), lambda x: x["e"]).alias("events"), F.min_by("monitor", F.struct("ts", "event_id")).alias("monitor"))
     return cursor.carried(days, ["session_id"], ["day"]).select("session_id", "day", F.size("events").alias("n_events"))
