@@ -135,6 +135,19 @@ def test_near_dedup_against_all_pairs(spark):
     assert simhash.near_dedup(docs.limit(0)).collect() == []
 
 
+def test_near_copies_within_crowded_keys(spark, monkeypatch):
+    """Keys of three bits hold many unlike texts: near copies among them meet, though they are not a key's smallest or largest."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(60):
+        base = rng.choices([f"w{i}" for i in range(900)], k=200)
+        rows += [" ".join(base), edited(base, 1, rng)]
+    monkeypatch.setattr(simhash, "BLOCK", 5, raising=False)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = simhash.near_dedup(docs, near=simhash.Near(spare=-4, tries=20.0))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 120, 2))
+
+
 def test_near_recall_on_documents(spark):
     """Against all pairs of the documents."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 
@@ -209,8 +209,9 @@ def _checked(ids: DataFrame) -> DataFrame:
 def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, near: Near) -> DataFrame:
     """Links (``a``, ``b``) of classes ``c`` whose texts are near.
 
-    The members of a key are compared with its smallest and its largest, and
-    not with each other. The distance of popcount vectors, then that of the
+    The members of a key are compared with its smallest and its largest. Then
+    those of them that these links leave in different groups are compared with each
+    other, in blocks (``_inner``). The distance of popcount vectors, then that of the
     fingerprints, rules out candidates; shingles decide on the others.
     """
     chosen = near.keys(classes.count())
@@ -229,41 +230,80 @@ def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, ne
 
     keys = classes.select("c", *signs).mapInArrow(keyed, "key long, c long")
     ends = stored(keys.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi"), "ends")
-    pairs = keys.join(ends, "key").select("c", F.explode(F.array("lo", "hi")).alias("b")).where("c <> b")
+    pairs = keys.join(ends, "key")
+    inner = stored(pairs.where("c <> lo and c <> hi").select("key", "c"), "inner")
+    pairs = pairs.select("c", F.explode(F.array("lo", "hi")).alias("b")).where("c <> b")
     pairs = pairs_made = stored(pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct(), "pairs")
-    for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("c").alias(side), F.struct(*signs, *(popcounts(F.col(s)).alias(f"p_{s}") for s in signs)).alias(f"of_{side}")), side)
+    of = F.struct(*signs, *(popcounts(F.col(s)).alias(f"p_{s}") for s in signs))
     at_least = sum(manhattan(F.col(f"of_a.p_{s}"), F.col(f"of_b.p_{s}")) for s in signs)
     exact = sum(F.bit_count(F.col(f"of_a.{s}").bitwiseXOR(F.col(f"of_b.{s}"))) for s in signs)
-    close = stored(pairs.where(at_least <= near.radius).where(exact <= near.radius).select("a", "b", exact.alias("bits")), "close")
+
+    def closer(some: DataFrame) -> DataFrame:
+        return some.where(at_least <= near.radius).where(exact <= near.radius).select("a", "b", exact.alias("bits"))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("c").alias(side), of.alias(f"of_{side}")), side)
+    close = stored(closer(pairs), "close")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = [shingle_set(t.encode("utf-8").lower().split(), near.words) for t in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["c", "shingles"])
 
-    wanted = stored(close.select(F.col("a").alias(rid)).union(close.select("b")).distinct(), "wanted")
-    texts = whole.select(rid, text_col).join(_checked(wanted), rid, "left_semi")
-    sets = stored(texts.mapInArrow(shingled, "c long, shingles array<int>"), "shingles")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        wanted = stored(pairs.select(F.col("a").alias(rid)).union(pairs.select("b")).distinct(), "wanted")
+        texts = whole.select(rid, text_col).join(_checked(wanted), rid, "left_semi")
+        sets = stored(texts.mapInArrow(shingled, "c long, shingles array<int>"), "shingles")
+        discard(wanted)
+        return sets
 
-    def decided(some: DataFrame) -> DataFrame:
+    def decided(some: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("b", "a"):
             some = some.join(sets.select(F.col("c").alias(side), F.col("shingles").alias(f"of_{side}")), side)
         shared = F.size(F.array_intersect("of_a", "of_b"))
         return stored(some.where(shared >= near.similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"), "near")
 
     # each with its nearest first: of the other candidates, those within a group so found can add nothing
-    first = decided(close.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    sets = sets_of(close)
+    first = decided(close.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b")), sets)
     groups = stored(connected_components(first), "groups")
     rest = close.select("a", "b")
     for side in ("a", "b"):
         rest = rest.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
     rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    links = first.union(decided(rest))
-    discard(ends, wanted, pairs_made)
+    links = first.union(decided(rest, sets))
+    more = _inner(inner, groups, classes.select("c", of.alias("of")), closer)
+    if more.limit(1).count():
+        links = links.union(decided(more, sets_of(more)))
+    discard(ends, inner, pairs_made)
     return links
 
 
+#: Members of a key that are compared with each other in one block.
+BLOCK = 1024
+
+
+def _inner(inner: DataFrame, groups: DataFrame, classes: DataFrame, closer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Candidates (``a``, ``b``) among members ``c`` of the same ``key`` that are in different groups.
+
+    A key's members are dealt into blocks, and every two blocks meet by
+    themselves: as many rows for each as there are blocks, and no key comes together.
+    """
+    labelled = inner.join(groups.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("g"))
+    labelled = stored(labelled, "labelled")
+    mixed = labelled.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = stored(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    dealt = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
+    dealt = stored(dealt.join(classes, "c"), "dealt")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = dealt.select("key", F.col("own").alias("i"), every.alias("j"), F.col("c").alias("a"), F.col("g").alias("ga"), F.col("of").alias("of_a")).where("i <= j")
+    two = dealt.select("key", every.alias("i"), F.col("own").alias("j"), F.col("c").alias("b"), F.col("g").alias("gb"), F.col("of").alias("of_b")).where("i <= j")
+    met = closer(one.join(two, ["key", "i", "j"]).where("ga <> gb and (i < j or a < b)"))
+    out = stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "met")
+    discard(labelled, mixed, dealt)
+    return out
+
+
 def manhattan(x: Column, y: Column) -> Column:
     """The Manhattan distance of two embeddings, which is never more than the number of bits that differ."""
     each = lambda n: F.lit(int.from_bytes([n] * 8))
