@@ -58,6 +58,14 @@ def test_dedupe_where_every_part_changes(spark):
     same(segmented.keep_changed_in_parts(rows, ["s"], "ts", ["id"], "h", 10, 1).select("id"), dedupe.keep_changed(rows, ["s"], ["ts", "id"], "h", 1).select("id"))
 
 
+def test_dedupe_of_many_small_parts(spark):
+    """20,000 parts of few rows are no 20,000 groups of pandas: no plan has such groups, and results stay."""
+    rows = spark.range(60_000).selectExpr("id", "id % 4000 s", "id ts", "pmod(xxhash64(id), 8) h")
+    got = segmented.keep_changed_in_parts(rows, ["s"], "ts", ["id"], "h", 12_000)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    same(got.select("id"), dedupe.keep_changed(rows, ["s"], ["ts", "id"], "h").select("id"))
+
+
 def test_empty(spark, rows):
     none = rows.limit(0)
     always = F.col("event_type") == "mouse_down"

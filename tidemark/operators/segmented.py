@@ -11,7 +11,7 @@ unit of ``ts``, chosen so that a part of the busiest group fits one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -162,22 +162,26 @@ def throttled_in_parts(events: DataFrame, every_us: int, always: Column, by: lis
 
 
 def _folded(by: list[str], order: list[str], threshold: int, out: str):
-    """Pandas function over one part: its rows that stay, or (``out`` is ``ends``) one row with the hash it ends with; ``_known`` and ``_in`` are the hash carried in."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order, kind="stable")
-        last = int(b["_in"].iloc[0]) if b["_known"].iloc[0] else None
-        keep = []
-        for absent, bits in zip(b["_absent"], b["_hash"], strict=True):
-            good = absent or last is None or ((last ^ bits) & ((1 << 64) - 1)).bit_count() > threshold
-            if good:
-                last = None if absent else bits
-            keep.append(bool(good))
-        if out == "rows":
-            return b[keep]
-        one = b.iloc[:1][[*by, PART]].copy()
-        one["_end_known"], one["_end"] = last is not None, 0 if last is None else last
-        return one
+    """Pandas function over parts, sorted one after the other: the keys of rows that stay, or (``out`` is ``ends``) a row for each part with the hash it ends with; ``_known`` and ``_in`` are the hash carried in."""
+    part = [*by, PART]
+    columns = [*part, "_end_known", "_end"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for b in batches:
+            keep, ends = [], []
+            for own, absent, bits, known, came in zip(zip(*(b[c] for c in part), strict=True), b["_absent"], b["_hash"], b["_known"], b["_in"], strict=True):
+                if own != key:
+                    if key is not None:
+                        ends.append((*key, last is not None, 0 if last is None else last))
+                    key, last = own, came if known else None
+                good = absent or last is None or ((last ^ bits) & ((1 << 64) - 1)).bit_count() > threshold
+                if good:
+                    last = None if absent else bits
+                keep.append(bool(good))
+            yield b.loc[keep, [*by, *order]] if out == "rows" else pd.DataFrame(ends, columns=columns)
+        if out == "ends" and key is not None:
+            yield pd.DataFrame([(*key, last is not None, 0 if last is None else last)], columns=columns)
 
     return run
 
@@ -190,14 +194,16 @@ def keep_changed_in_parts(frames: DataFrame, by: list[str], ts: str, tie: list[s
     something else are folded again, until nothing changes. Mostly a part ends
     with the same hash whatever comes in, since two folds agree from the first
     frame on that both keep: few parts are folded twice. At worst each round
-    mends one part of each group. A part holds a row's key, time and hash only.
+    mends one part of each group. Parts are dealt over the tasks and sorted there by
+    Spark, and folded one after the other, batch by batch: a part costs no call of its own.
     """
     place = [ts, *tie]
     slim = cut(frames, ts, part).select(*by, PART, *place, F.col(hash_col).isNull().alias("_absent"), F.coalesce(F.col(hash_col), F.lit(0)).cast("bigint").alias("_hash"))
     slim = kept(slim, "hashes")
     kinds = dict(slim.dtypes)
     ends_schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, PART]) + ", _end_known boolean, _end bigint"
-    ends = lambda df: df.groupBy(*by, PART).applyInPandas(_folded(by, place, threshold, "ends"), ends_schema)
+    dealt = lambda df: df.repartition(*by, PART).sortWithinPartitions(*by, PART, *place)
+    ends = lambda df: dealt(df).mapInPandas(_folded(by, place, threshold, "ends"), ends_schema)
     nothing = (F.lit(False).alias("_known"), F.lit(0).cast("bigint").alias("_in"))
     state = kept(ends(slim.select("*", *nothing)).select("*", *nothing), "ends")
     order = Window.partitionBy(*by).orderBy(PART)
@@ -210,6 +216,6 @@ def keep_changed_in_parts(frames: DataFrame, by: list[str], ts: str, tie: list[s
         mended = ends(slim.join(again, [*by, PART])).join(again, [*by, PART])
         state = kept(now.where("not _changed").select(*state.columns).unionByName(mended.select(*state.columns)), "ends")
     carry = state.select(*by, PART, "_known", "_in")
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*slim.dtypes, ("_known", "boolean"), ("_in", "bigint")])
-    stay = slim.join(carry, [*by, PART]).groupBy(*by, PART).applyInPandas(_folded(by, place, threshold, "rows"), schema)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, *place])
+    stay = dealt(slim.join(carry, [*by, PART])).mapInPandas(_folded(by, place, threshold, "rows"), schema)
     return frames.join(stay.select(*by, *place), [*by, *place], "left_semi")
