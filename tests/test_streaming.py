@@ -118,6 +118,17 @@ def test_many_held_links(spark, tmp_path):
     assert written and min(written) < 50
 
 
+def test_links_far_apart(spark, tmp_path):
+    """250 boundaries an hour apart, all in one batch: no state row and no timer for each of them."""
+    rows = [(0, "key", f"b{i}", "start", (i + 1) * 3_600_000_000, i) for i in range(250)]
+    live.with_rocksdb(spark)
+    stream = stream_of(spark, tmp_path, rows, "session_id long, category string, burst_id string, request_state string, ts long, event_id long", 1)
+    query = live.stream_links(stream).writeStream.format("memory").queryName("far").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert sorted((r.ts, r.end_ts) for r in spark.table("far").collect()) == [(r[4], r[4] + 3_600_000_000) for r in rows[:248]]
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]) < 50
+
+
 def test_readiness(spark):
     rows = spark.createDataFrame([(1, True, None), (2, True, "a.jpg"), (3, False, None), (4, None, None)], "id int, needs_screenshot boolean, screenshot_path string")
     assert {r.id: r.ready for r in live.ready_requests(rows).collect()} == {1: False, 2: True, 3: True, 4: True}

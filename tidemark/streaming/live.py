@@ -85,43 +85,68 @@ def ready_requests(requests: DataFrame, needs_frame: str = "needs_screenshot", f
 
 
 class Links(StatefulProcessor):
-    """One session's boundaries on their way: ``held`` by steps of time, and the ``open`` one that waits for its next.
+    """One session's boundaries on their way: those held, and the ``open`` one that waits for its next.
 
-    The first boundary of a step sets a timer at its end. Timers fire in order
-    of time, and one takes its own step's boundaries only: what is read and
-    written follows the boundaries that come and go, not those that are held.
+    Few are held in one value, ``near``; beyond ``BLOCK`` they go, sorted, into
+    blocks of so many. A session has one timer, at its earliest boundary: it takes
+    what the watermark has passed from ``near`` and from the blocks that begin before it.
+    So a session costs a few calls a batch, and blocks are read when their first is due.
     """
 
-    STEP_MS = 1000
+    BLOCK = 256
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "ends_ms long", "boundaries string")
-        self.open = handle.getValueState("open", "category string, burst_id string, request_state string, ts long, event_id long")
+        self.blocks = handle.getMapState("blocks", "number long", "boundaries string")
+        self.now = handle.getValueState("now", "open string, near string, starts string, timer long")
+
+    def _read(self) -> tuple:
+        now = self.now.get()
+        return (None, [], [], None) if now is None else (json.loads(now[0]), [tuple(x) for x in json.loads(now[1])], json.loads(now[2]), now[3])
+
+    def _write(self, last, near: list, starts: list, timer: int | None) -> None:
+        """Keep the state; ``starts`` has each block's first time and number."""
+        if len(near) > self.BLOCK:
+            near, number = sorted(near), 1 + max((n for _, n in starts), default=0)
+            for at in range(0, len(near), self.BLOCK):
+                self.blocks.updateValue((number,), (json.dumps(near[at : at + self.BLOCK]),))
+                starts.append((near[at][0], number))
+                number += 1
+            near = []
+        held = [b[0] for b in near] + [ts for ts, _ in starts]
+        due = min(held) // 1000 + 1 if held else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.now.update((json.dumps(last), json.dumps(near), json.dumps(starts), due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        came: dict[int, list] = {}
+        last, near, starts, timer = self._read()
         for b in rows:
-            for c, burst, state, ts, event in b[["category", "burst_id", "request_state", "ts", "event_id"]].itertuples(index=False, name=None):
-                came.setdefault((int(ts) // (1000 * self.STEP_MS) + 1) * self.STEP_MS, []).append((int(ts), int(event), str(state), str(c), str(burst)))
-        for ms, new in came.items():
-            if self.held.containsKey((ms,)):
-                new += [tuple(x) for x in json.loads(self.held.getValue((ms,))[0])]
-            else:
-                self.handle.registerTimer(ms)
-            self.held.updateValue((ms,), (json.dumps(new),))
-        yield pd.DataFrame(columns=LINK_COLUMNS)
+            near += zip(*(b[c].tolist() for c in ("ts", "event_id", "request_state", "category", "burst_id")), strict=True)
+        self._write(last, near, starts, timer)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ms, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        last = tuple(self.open.get()) if self.open.exists() else None
-        for ts, event, state, category, burst in sorted(map(tuple, json.loads(self.held.getValue((ms,))[0]))):
+        last, held, starts, _ = self._read()
+        end = timerValues.getCurrentWatermarkInMs() * 1000
+        for _, number in (s for s in starts if s[0] < end):
+            held += [tuple(x) for x in json.loads(self.blocks.getValue((number,))[0])]
+            self.blocks.removeKey((number,))
+        out, near = [], []
+        for b in sorted(held):
+            if b[0] >= end:
+                near.append(b)
+                continue
+            ts, event, state, category, burst = b
             if last is not None:
                 out.append((key[0], *last, ts))
             last = (category, burst, state, ts, event)
-        self.open.update(last)
-        self.held.removeKey((ms,))
-        yield pd.DataFrame(out, columns=LINK_COLUMNS)
+        self._write(last, near, [s for s in starts if s[0] >= end], None)
+        if out:
+            yield pd.DataFrame(out, columns=LINK_COLUMNS)
 
     def close(self) -> None:
         pass
