@@ -52,6 +52,16 @@ def test_boundaries_equal_the_batch(spark, tmp_path, events):
     assert any(w[2] == "mid" for w in got)
 
 
+def test_one_state_for_a_session(spark, tmp_path):
+    """A session's categories share one state row, and each burst keeps its own end."""
+    rows = [(s, c, 1_000_000 + 10_000 * i, 2 * s + i, 0) for s in range(3) for i, c in enumerate(("key", "move"))] + [(9, "key", 60_000_000, 99, 0)]
+    stream = stream_of(spark, tmp_path, rows, "session_id long, category string, ts long, event_id long, monitor_index int", 1).withColumn("event_time", F.timestamp_micros("ts"))
+    query = live.stream_boundaries(stream, GAPS, TOTALS).writeStream.format("memory").queryName("one").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert sorted((r.session_id, r.category, r.request_state) for r in spark.table("one").collect()) == sorted([(s, c, k) for s in range(3) for c in ("key", "move") for k in ("start", "end")] + [(9, "key", "start")])
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 4
+
+
 def test_links_in_order(spark, tmp_path):
     rng = random.Random(5)
     rows = [(i % 2, "key", f"b{i}", "start", i * 1_000_000, i) for i in range(120)]

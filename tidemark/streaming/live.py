@@ -29,7 +29,7 @@ def segments(requests: DataFrame, session: str = "session_id", burst: str = "bur
     return rows.select(session, burst, category, F.coalesce("start_ts", ts).alias("start_ts"), F.col(ts).alias("end_ts"))
 
 
-STATE = "queue string, burst long, last long"
+STATE = "bursts string"
 BOUNDARY = "session_id long, category string, burst_id string, request_state string, reason string, ts long, event_id long, monitor_index int"
 
 
@@ -38,42 +38,55 @@ def stream_boundaries(events: DataFrame, gaps: dict[str, int], totals: dict[str,
 
     ``events``: ``session_id``, ``category``, ``ts`` (microseconds),
     ``event_id``, ``monitor_index`` and ``event_time`` (a timestamp). State is
-    kept by session and category: what is open of one burst. A burst ends when
+    kept by session: what is open of one burst of each category. A burst ends when
     the next event is further than its gap, or when the watermark passes its
     last event by the gap. Its id is its category and first time, so that no
     counter is shared. Events of a batch are taken in time order.
     """
 
+    names = [f.split()[0] for f in BOUNDARY.split(", ")]
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, category = key
-        gap, out = gaps[category], []
-        queue, begun, last = (json.loads(state.get[0]), *state.get[1:]) if state.exists else ([], None, None)
+        (session,), out = key, []
+        bursts = json.loads(state.get[0]) if state.exists else {}  # by category: what is open, its first and its last time
 
-        def said(kind: str, reason: str, ts: int, monitor: int, event: int) -> None:
+        def said(category: str, begun: int, kind: str, reason: str, ts: int, monitor: int, event: int) -> None:
             out.append((session, category, f"{category}_{begun}", kind, reason, ts, event, monitor))
 
-        if state.hasTimedOut:
-            said("end", STALE, *queue[-1])
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            burst = OpenBurst(totals[category], [tuple(q) for q in queue])
-            for ts, monitor, event in rows[["ts", "monitor_index", "event_id"]].itertuples(index=False, name=None):
-                if burst.queue and ts - burst.queue[-1][0] > gap:
-                    said("end", STALE, *burst.queue[-1])
+        if not state.hasTimedOut:
+            rows, opened = [], {}
+            for b in batches:
+                rows += zip(*(b[c].tolist() for c in ("ts", "event_id", "monitor_index", "category")), strict=True)
+            for ts, event, monitor, category in sorted(rows):
+                if category not in opened:
+                    queue, begun, _ = bursts.get(category, ([], None, None))
+                    opened[category] = [OpenBurst(totals[category], [tuple(q) for q in queue]), begun, None]
+                one = opened[category]
+                burst = one[0]
+                if burst.queue and ts - burst.queue[-1][0] > gaps[category]:
+                    said(category, one[1], "end", STALE, *burst.queue[-1])
                     burst.queue.clear()
                 if not burst.queue:
-                    begun = ts
-                    said("start", STALE, ts, monitor, event)
-                if found := burst.push(int(ts), int(monitor), int(event)):
-                    said("mid", *found)
-                last = ts
-            state.update((json.dumps(burst.queue), int(begun), int(last)))
-            state.setTimeoutTimestamp(max(int(last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in BOUNDARY.split(", ")])
+                    one[1] = ts
+                    said(category, ts, "start", STALE, ts, monitor, event)
+                if found := burst.push(ts, monitor, event):
+                    said(category, one[1], "mid", *found)
+                one[2] = ts
+            bursts |= {c: (burst.queue, begun, last) for c, (burst, begun, last) in opened.items()}
+        mark = state.getCurrentWatermarkMs()
+        times = {c: (last + gaps[c]) // 1000 + 1 for c, (_, _, last) in bursts.items()}
+        for category in [c for c, t in times.items() if t < mark]:
+            queue, begun, _ = bursts.pop(category)
+            said(category, begun, "end", STALE, *queue[-1])
+        if bursts:
+            state.update((json.dumps(bursts),))
+            state.setTimeoutTimestamp(max(min(times[c] for c in bursts), mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=names)
 
     marked = events.withWatermark("event_time", late)
-    return marked.groupBy("session_id", "category").applyInPandasWithState(step, BOUNDARY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("session_id").applyInPandasWithState(step, BOUNDARY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 LINKED = "session_id long, category string, burst_id string, request_state string, ts long, event_id long, end_ts long"
