@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -148,6 +149,42 @@ def test_near_copies_within_crowded_keys(spark, monkeypatch):
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 120, 2))
 
 
+def test_crowd_of_unlike_edits(spark, monkeypatch):
+    """Copies of one text, each edited too much to be near another, share all keys: few of their pairs leave a task, and near ones among them are found."""
+    from tests_llm_plain import plain_near
+
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in rng.choices(range(900), k=150)], []
+    for i in range(160):
+        rows.append(edited(base, rng.randint(7, 10), rng))
+        if i % 4 == 0:
+            rows.append(edited(rows[-1].split(), 1, rng))
+    counts, store = {}, simhash.stored
+
+    def counted(df, label):
+        out = store(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    monkeypatch.setattr(simhash, "BLOCK", 64)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.near_dedup(docs, near=simhash.Near(spare=-4, tries=20.0)).collect())
+    assert kept == sorted(set(plain_near(rows, range(len(rows))).values())) and len(kept) == 160
+    assert counts["dealt"] > 0 and counts["met"] <= 2 * len(rows)
+
+
+def test_sketch_distance(spark):
+    """Never more than the number of shingles in one text alone, also where counts end at 255."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 300, 90_000):
+        one = np.unique(rng.integers(-(1 << 31), 1 << 31, n, dtype=np.int64).astype(np.int32))
+        two = np.unique(np.concatenate([one[len(one) // 5 :], rng.integers(-(1 << 31), 1 << 31, n // 4, dtype=np.int64).astype(np.int32)]))
+        a, b = (np.frombuffer(simhash.sketch(x), np.uint8).astype(int) for x in (one, two))
+        assert len(a) == simhash.SKETCH and np.abs(a - b).sum() <= len(np.setxor1d(one, two))
+        assert a.sum() == len(one) or n == 90_000 and a.max() == 255
+
+
 def test_near_recall_on_documents(spark):
     """Against all pairs of the documents."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

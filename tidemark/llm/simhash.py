@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 
@@ -206,13 +206,22 @@ def _checked(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids.hint("shuffle_hash")
 
 
+#: Buckets of a sketch: how many of a text's shingles fall into each, up to 255.
+SKETCH = 256
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """A text's shingles counted in buckets. The Manhattan distance of two sketches is never more than the number of shingles in one text alone."""
+    return np.minimum(np.bincount(shingles & (SKETCH - 1), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, near: Near) -> DataFrame:
     """Links (``a``, ``b``) of classes ``c`` whose texts are near.
 
     The members of a key are compared with its smallest and its largest. Then
     those of them that these links leave in different groups are compared with each
     other, in blocks (``_inner``). The distance of popcount vectors, then that of the
-    fingerprints, rules out candidates; shingles decide on the others.
+    fingerprints, and among many that of sketches, rules out candidates; shingles decide on the others.
     """
     chosen = near.keys(classes.count())
     signs = [f"s{i}" for i in range(near.parts)]
@@ -235,25 +244,23 @@ def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, ne
     pairs = pairs.select("c", F.explode(F.array("lo", "hi")).alias("b")).where("c <> b")
     pairs = pairs_made = stored(pairs.select(F.greatest("c", "b").alias("a"), F.least("c", "b").alias("b")).distinct(), "pairs")
     of = F.struct(*signs, *(popcounts(F.col(s)).alias(f"p_{s}") for s in signs))
-    at_least = sum(manhattan(F.col(f"of_a.p_{s}"), F.col(f"of_b.p_{s}")) for s in signs)
-    exact = sum(F.bit_count(F.col(f"of_a.{s}").bitwiseXOR(F.col(f"of_b.{s}"))) for s in signs)
-
-    def closer(some: DataFrame) -> DataFrame:
-        return some.where(at_least <= near.radius).where(exact <= near.radius).select("a", "b", exact.alias("bits"))
-
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("c").alias(side), of.alias(f"of_{side}")), side)
-    close = stored(closer(pairs), "close")
+    at_least = sum(manhattan(F.col(f"of_a.p_{s}"), F.col(f"of_b.p_{s}")) for s in signs)
+    exact = sum(F.bit_count(F.col(f"of_a.{s}").bitwiseXOR(F.col(f"of_b.{s}"))) for s in signs)
+    close = pairs.where(at_least <= near.radius).where(exact <= near.radius)
+    close = stored(close.select("a", "b", exact.cast("int").alias("off")), "close")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             sets = [shingle_set(t.encode("utf-8").lower().split(), near.words) for t in strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["c", "shingles"])
+            more = [pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32())), *more], names=["c", "shingles", "size", "sketch"])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.select(F.col("a").alias(rid)).union(pairs.select("b")).distinct(), "wanted")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = stored(ids.toDF(rid).distinct(), "wanted")
         texts = whole.select(rid, text_col).join(_checked(wanted), rid, "left_semi")
-        sets = stored(texts.mapInArrow(shingled, "c long, shingles array<int>"), "shingles")
+        sets = stored(texts.mapInArrow(shingled, "c long, shingles array<int>, size int, sketch binary"), "shingles")
         discard(wanted)
         return sets
 
@@ -263,45 +270,80 @@ def near_links(whole: DataFrame, classes: DataFrame, text_col: str, rid: str, ne
         shared = F.size(F.array_intersect("of_a", "of_b"))
         return stored(some.where(shared >= near.similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b"), "near")
 
-    # each with its nearest first: of the other candidates, those within a group so found can add nothing
-    sets = sets_of(close)
-    first = decided(close.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", F.col("m.b").alias("b")), sets)
-    groups = stored(connected_components(first), "groups")
-    rest = close.select("a", "b")
-    for side in ("a", "b"):
-        rest = rest.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
-    rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    links = first.union(decided(rest, sets))
-    more = _inner(inner, groups, classes.select("c", of.alias("of")), closer)
-    if more.limit(1).count():
-        links = links.union(decided(more, sets_of(more)))
+    def settled(close: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        # each with its nearest first: of the other candidates, those within a group so found can add nothing
+        first = decided(close.groupBy("a").agg(F.min(F.struct("off", "b")).alias("m")).select("a", F.col("m.b").alias("b")), sets)
+        links = first if known is None else known.union(first)
+        groups = stored(connected_components(links), "groups")
+        rest = close.select("a", "b")
+        for side in ("a", "b"):
+            rest = rest.join(groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+        rest = rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        return links.union(decided(rest, sets))
+
+    links = settled(close, sets_of(close.select("a").union(close.select("b"))))
+    dealt = _dealt(inner, stored(connected_components(links), "groups"))
     discard(ends, inner, pairs_made)
+    if dealt.limit(1).count():
+        sets = sets_of(dealt.select("c"))
+        links = settled(_inner(dealt, classes.select("c", *signs), sets, near), sets, links)
     return links
 
 
 #: Members of a key that are compared with each other in one block.
-BLOCK = 1024
-
+BLOCK = 512
 
-def _inner(inner: DataFrame, groups: DataFrame, classes: DataFrame, closer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Candidates (``a``, ``b``) among members ``c`` of the same ``key`` that are in different groups.
 
-    A key's members are dealt into blocks, and every two blocks meet by
-    themselves: as many rows for each as there are blocks, and no key comes together.
-    """
+def _dealt(inner: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members ``c`` of the keys whose members are in different groups ``g``, each with its block ``own`` of ``blocks``."""
     labelled = inner.join(groups.withColumnRenamed("node", "c"), "c", "left").select("key", "c", F.coalesce("component", "c").alias("g"))
     labelled = stored(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     mixed = stored(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    dealt = labelled.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int"))
-    dealt = stored(dealt.join(classes, "c"), "dealt")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = dealt.select("key", F.col("own").alias("i"), every.alias("j"), F.col("c").alias("a"), F.col("g").alias("ga"), F.col("of").alias("of_a")).where("i <= j")
-    two = dealt.select("key", every.alias("i"), F.col("own").alias("j"), F.col("c").alias("b"), F.col("g").alias("gb"), F.col("of").alias("of_b")).where("i <= j")
-    met = closer(one.join(two, ["key", "i", "j"]).where("ga <> gb and (i < j or a < b)"))
-    out = stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "met")
-    discard(labelled, mixed, dealt)
-    return out
+    own = F.pmod(F.xxhash64("c"), F.col("blocks").cast("long")).cast("int")
+    dealt = stored(labelled.join(mixed, "key").withColumn("own", own), "dealt")
+    discard(labelled, mixed)
+    return dealt
+
+
+def _inner(dealt: DataFrame, classes: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Candidates (``a``, ``b``) among members of the same key that are in different groups; ``off`` is the distance of their sketches.
+
+    Every two blocks of a key meet by themselves: as many rows for each member as there are
+    blocks, and no key comes together. Pairs are made within a task only, and
+    those whose fingerprints and sketches leave it open whether they are near go on. A pair of
+    texts of ``n`` and ``m`` shingles is near if at most (n + m) (1 - similarity) / (1 + similarity)
+    of these are in one text alone, so no near pair is ruled out by sketches.
+    """
+    signs = classes.columns[1:]
+    most = (1 - near.similarity) / (1 + near.similarity)
+    radius = near.radius
+
+    def compared(block: pa.Table) -> pa.Table:
+        c, g, own, size = (block[n].to_numpy() for n in ("c", "g", "own", "size"))
+        fps = np.stack([block[s].to_numpy() for s in signs], axis=1).view("<u8")
+        counts = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint8).reshape(len(c), -1).astype(np.int16)
+        i, j = block["i"][0].as_py(), block["j"][0].as_py()
+        one, two = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        found = [np.zeros((3, 0), np.int64)]
+        for at in range(0, len(one), 32):
+            part = one[at : at + 32]
+            x, y = np.nonzero((g[part][:, None] != g[two]) & ((i < j) | (c[part][:, None] < c[two])))
+            x, y = part[x], two[y]
+            open_ = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1) <= radius
+            x, y = x[open_], y[open_]
+            off = np.abs(counts[x] - counts[y]).sum(axis=1, dtype=np.int64)
+            open_ = off <= most * (size[x].astype(np.int64) + size[y]) + 1e-6
+            x, y, off = x[open_], y[open_], off[open_]
+            found.append(np.stack([np.maximum(c[x], c[y]), np.minimum(c[x], c[y]), off]))
+        a, b, off = np.concatenate(found, axis=1)
+        return pa.table({"a": a, "b": b, "off": off.astype(np.int32)})
+
+    own, other = F.col("own"), F.col("other")
+    rows = dealt.join(classes, "c").join(sets.select("c", "size", "sketch"), "c")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "own", "c", "g", "size", "sketch", *signs)
+    return stored(rows.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long, off int").distinct(), "met")
 
 
 def manhattan(x: Column, y: Column) -> Column:
